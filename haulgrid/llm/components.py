@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from haulgrid.llm.scratch import Scratch
 
 
-def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch, name: str, rows: int | None = None) -> DataFrame:
     """(node, component) for each node of ``links`` (a, b): component is the least node that links reach.
 
     Each round rehangs every node on the least neighbour it knows; the number of rounds grows with the logarithm of
     a component's size, and a chain is no worse than a star. A round's result is written, so that lineage stays
-    short; only a count and a checksum reach the driver.
+    short; only a count and a checksum reach the driver. ``rows``: about how many links there are, where known.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = scratch.table(edges, f"{name}-0")
+    edges = scratch.table(edges, f"{name}-0", rows=rows)
     mark, rounds = None, 0
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,7 +25,7 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         rounds += 1
-        edges = scratch.table(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{rounds}")
+        edges = scratch.table(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{rounds}", rows=rows)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -146,7 +146,7 @@ def _lots(df: DataFrame, most: int) -> Iterator[list]:
 def revealing_terms(docs: DataFrame) -> DataFrame:
     """term, entity, share (p(entity | term)), bits and action (generalise or remove) of the terms over the thresholds."""
     scratch = Scratch(docs.sparkSession, "pii")
-    near = scratch.table(contexts(docs), "contexts")
+    near = scratch.table(contexts(docs), "contexts", from_scan=True)
     pairs = near.groupBy("entity", "term", "around").agg(F.count("*").alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("kinds")).where(F.col("kinds") >= SUPPORT)
     pairs = scratch.table(pairs, "pairs")

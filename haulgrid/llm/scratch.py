@@ -31,9 +31,13 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_root(spark)}/haulgrid-{name}-{uuid.uuid4().hex[:12]}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, from_scan: bool = False, rows: int | None = None) -> DataFrame:
+        """``df``, written and read again. What comes from a scan keeps its tasks, whose loss then costs little.
+
+        ``rows``: about how many there are, where known; a table of few rows becomes few files.
+        """
         schema = df.schema
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        (df if from_scan else few(df, rows)).write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def clear(self) -> None:
@@ -42,6 +46,12 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` in four partitions for each core at most, and in one for each 50,000 of ``rows``, narrow ones."""
+    most = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(most if rows is None else min(most, 1 + rows // 50_000))
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it has at most BROADCAST_ROWS rows (counted here), else as it is."""
     rows = df.count() if rows is None else rows

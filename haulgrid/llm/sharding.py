@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulgrid.llm.scratch import Scratch
+from haulgrid.llm.scratch import Scratch, few
 
 SHARDS = 24
 ROUNDS = 4
@@ -68,9 +68,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         F.pmod(F.xxhash64("r", F.lit(5)), F.coalesce("fine", F.lit(1))).alias("fine"),
         F.pmod(F.xxhash64("r", F.lit(11)), F.lit(shards)).cast("int").alias("label"),
     )
-    rows = scratch.table(rows, "linked")
+    rows = scratch.table(rows, "linked", rows=n)
     key = [*_KEY, "part"]
-    tally = scratch.table(rows.where("part is not null").groupBy(*key, "label").agg(F.count("*").alias("votes")), "tally")
+    tally = scratch.table(rows.where("part is not null").groupBy(*key, "label").agg(F.count("*").alias("votes")), "tally", rows=n)
     count = tally.select(*key).distinct().count()
 
     room, settled = list(quota), None
@@ -84,11 +84,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         wish = left.groupBy(*key).agg(F.sum("votes").alias("members"), F.max(F.struct(votes.alias("v"), F.xxhash64("label", *key).alias("x"), "label")).alias("best"))
         wish = wish.select(*key, "members", F.when(F.col("best.v") > 0, F.col("best.label").cast("long")).otherwise(any_open).cast("int").alias("target")).withColumn("bucket", _bucket(count, *key))
         ranked = _ranked(wish, "target", F.col("members"), key, "upto")
-        got = scratch.table(ranked.where(F.col("upto") <= _pick(room, F.col("target"))).select(*key, "target", "members"), f"moved-{k}")
+        got = scratch.table(ranked.where(F.col("upto") <= _pick(room, F.col("target"))).select(*key, "target", "members"), f"moved-{k}", rows=count)
         moved = {t: m for t, m in got.groupBy("target").agg(F.sum("members")).collect()}
         room = [room[t] - int(moved.get(t, 0)) for t in range(shards)]
         settled = got if settled is None else settled.unionByName(got)
-        left = scratch.table(left.join(got, key, "left_anti"), f"left-{k}")
+        left = scratch.table(left.join(got, key, "left_anti"), f"left-{k}", rows=count)
         if left.isEmpty():
             break
 
@@ -98,7 +98,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         placed = rows.join(settled.select(*key, "target"), key, "left")
         lane = F.coalesce("target", F.lit(shards))
     placed = placed.select("doc_id", *_KEY, "r", lane.cast("int").alias("lane"), F.pmod(F.xxhash64(*_KEY, "part", "fine", F.lit(7)), F.lit(max(1, n // BUCKET_ROWS))).alias("bucket"))
-    placed = scratch.table(placed, "placed")
+    placed = scratch.table(placed, "placed", rows=n)
     ranked = _ranked(placed, "lane", F.lit(1), [*_KEY, "r", "doc_id"], "upto").withColumn("at", (F.col("upto") - 1).cast("long"))
 
     # What is left is one line of rows, cut where a shard is full.
@@ -112,4 +112,4 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     at_shard = F.when(free, F.least(filler, F.lit(shards - 1))).otherwise(F.col("lane")).cast("int")
     ranked = ranked.withColumn("shard", at_shard)
     slot = F.when(free, F.col("at") - _pick(starts, F.col("shard")) + _pick(taken, F.col("shard"))).otherwise(F.col("at"))
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return few(ranked, n).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
