@@ -57,12 +57,14 @@ def _typed(segment: Column) -> Column:
     )
 
 
-def templates(pages: DataFrame) -> DataFrame:
+def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """The tree's leaves: host, segments s1 to s3 (empty where there is none) and more, their templates t1 to t3, and counts.
 
     ``pages`` has host, s1, s2, s3, more and bad (1, 0 or null without a label).
     """
     leaves = pages.groupBy("host", "s1", "s2", "s3", "more").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+    leaves = scratch.table(leaves, "leaves-0")
+    n = leaves.count()
     node = ["host"]
     for k in range(1, DEPTH + 1):
         child = f"s{k}"
@@ -70,12 +72,12 @@ def templates(pages: DataFrame) -> DataFrame:
         totals = sizes.groupBy(*node).agg(F.count_if(F.col(child) != "").alias("kids"), F.sum("own").alias("total"))
         rare = (F.col("kids") > CHILDREN) & (F.col("own") * CHILDREN < F.col("total")) & (F.col(child) != "")
         named = sizes.join(totals, node).select(*node, child, F.when(rare, F.lit("*")).otherwise(F.col(child)).alias(f"t{k}"))
-        leaves = leaves.join(named, [*node, child])
+        leaves = scratch.table(leaves.join(named, [*node, child]), f"leaves-{k}", rows=n)
         node = [*node, f"t{k}"]
     return leaves
 
 
-def purities(leaves: DataFrame) -> DataFrame:
+def purities(leaves: DataFrame, scratch: Scratch) -> DataFrame:
     """host, t1 to t3, more, and the labelled and bad of the branch that each template ends up in.
 
     Level by level, the branches of a node that are still open are compared with all of them together: one without
@@ -84,7 +86,9 @@ def purities(leaves: DataFrame) -> DataFrame:
     """
     key = ["host", "t1", "t2", "t3", "more"]
     rows = leaves.groupBy(*key).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).withColumn("open", F.lit(True))
-    for branch, parent in ((key, key[:3]), (key[:3], key[:2]), (key[:2], key[:1])):
+    n = leaves.count()
+    rows = scratch.table(rows, "branches-0", rows=n)
+    for level, (branch, parent) in enumerate(((key, key[:3]), (key[:3], key[:2]), (key[:2], key[:1])), 1):
         groups = rows.where("open").groupBy(*branch).agg(F.max("labelled").alias("l"), F.max("bad").alias("b"))
         pooled = groups.groupBy(*parent).agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
         share = (F.col("all_b") + 1) / (F.col("all_l") + 2)
@@ -93,7 +97,8 @@ def purities(leaves: DataFrame) -> DataFrame:
         merged = groups.where("like").groupBy(*parent).agg(F.sum("l").alias("m_l"), F.sum("b").alias("m_b"))
         rows = rows.join(groups.select(*branch, "like"), branch, "left").join(merged, parent, "left")
         joins = F.col("open") & F.coalesce("like", F.lit(False))
-        rows = rows.select(*key, F.when(joins, F.col("m_l")).otherwise(F.col("labelled")).alias("labelled"), F.when(joins, F.col("m_b")).otherwise(F.col("bad")).alias("bad"), joins.alias("open"))
+        now = rows.select(*key, F.when(joins, F.col("m_l")).otherwise(F.col("labelled")).alias("labelled"), F.when(joins, F.col("m_b")).otherwise(F.col("bad")).alias("bad"), joins.alias("open"))
+        rows = scratch.table(now, f"branches-{level}", rows=n)
     return rows
 
 
@@ -111,14 +116,14 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
     typed = [F.coalesce(_typed(F.get("_s", F.lit(k - 1))), F.lit("")).alias(f"s{k}") for k in range(1, DEPTH + 1)]
     rows = rows.withColumn("_s", segments).select("page_id", "host", "path", *typed, (F.size("_s") > DEPTH).alias("more"))
     rows = scratch.table(rows.join(labelled.select("page_id", F.col("bad").cast("int").alias("bad")), "page_id", "left"), "pages")
-    leaves = scratch.table(templates(rows), "leaves")
+    leaves = templates(rows, scratch)
     prior = rows.agg(F.coalesce(F.try_divide(F.sum("bad"), F.count("bad")), F.lit(0.0))).first()[0]
     names = ["host", "t1", "t2", "t3", "more"]
     smoothed = (F.col("bad") + PRIOR * F.lit(prior)) / (F.col("labelled") + PRIOR)
-    found = purities(leaves).select(*names, F.when(smoothed >= REJECT, "block").otherwise("allow").alias("by_template"))
+    found = purities(leaves, scratch).select(*names, F.when(smoothed >= REJECT, "block").otherwise("allow").alias("by_template"))
     segments = ["host", "s1", "s2", "s3", "more"]
     of = leaves.join(found, names).select(*segments, F.concat_ws("/", "t1", "t2", "t3").alias("template"), "by_template")
-    judged = rows.join(small(scratch.table(of, "verdicts")), segments, "left").withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    judged = rows.join(small(scratch.table(of, "verdicts", rows=leaves.count())), segments, "left").withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("_rule")["action"], "by_template", F.lit("allow"))
     return judged.select("page_id", "host", "path", F.col("_rule")["rule"].alias("rule"), verdict.alias("verdict"), "template")
 
