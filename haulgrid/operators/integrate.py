@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulgrid.operators.validate import first_per_key
 
-#: Rows up to which a side is broadcast; a year of hours or a city's zones are far fewer. Beyond it the planner chooses.
-LOOKUP_ROWS = 1_000_000
+#: Estimated bytes up to which a side is hinted: the optimizer's estimates of filters, joins and groups lie above the true
+#: size of the files they read. Beyond it there is no hint, and adaptive execution measures the side itself.
+LOOKUP_BYTES = 8 << 20
 
 
-def lookup(df: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
-    """A broadcast hint for a side of checked size; counting stops at the limit."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def lookup(df: DataFrame, most: int = LOOKUP_BYTES) -> DataFrame:
+    """A broadcast hint for a side of checked size, without running a job."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most else df
+
+
+def hour(at: Column) -> Column:
+    """The hour that a timestamp lies in, without a zone; date_trunc would go through the session's."""
+    at = at.cast("timestamp_ntz")
+    return at - F.make_dt_interval(F.lit(0), F.lit(0), F.minute(at), F.extract(F.lit("SECOND"), at))
 
 
 def hourly_weather(weather: DataFrame, at: str = "weather_hour") -> DataFrame:
@@ -26,7 +34,7 @@ def site_hourly(measurements: DataFrame, site: dict[str, int], at: str, value: s
     """The hourly mean of one site's measurements."""
     for column, code in site.items():
         measurements = measurements.where(F.col(column) == code)
-    return measurements.groupBy(F.date_trunc("hour", at).cast("timestamp_ntz").alias("aq_hour")).agg(F.avg(value).alias(out))
+    return measurements.groupBy(hour(F.col(at)).alias("aq_hour")).agg(F.avg(value).alias(out))
 
 
 def in_role(zones: DataFrame, role: str) -> DataFrame:
@@ -35,7 +43,7 @@ def in_role(zones: DataFrame, role: str) -> DataFrame:
 
 
 def with_hour(trips: DataFrame, at: str = "pickup_datetime") -> DataFrame:
-    return trips.withColumn("pickup_hour", F.date_trunc("hour", at).cast("timestamp_ntz"))
+    return trips.withColumn("pickup_hour", hour(F.col(at)))
 
 
 def with_hourly(trips: DataFrame, side: DataFrame, hour: str) -> DataFrame:

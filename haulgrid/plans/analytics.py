@@ -91,8 +91,13 @@ def per_borough(trips: DataFrame, zones: DataFrame, *measures: Column) -> DataFr
     return trips.join(zones, trips["pickup_location_id"] == zones["location_id"], "left").groupBy("borough").agg(*measures)
 
 
+def seconds(at: Column) -> Column:
+    """Seconds since 1970 of a timestamp without a zone, with no change of clocks in between."""
+    return F.unix_date(F.to_date(at)).cast("long") * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+
+
 def duration_per_day(trips: DataFrame) -> DataFrame:
-    minutes = (F.unix_seconds(F.col("dropoff_datetime").cast("timestamp")) - F.unix_seconds(F.col("pickup_datetime").cast("timestamp"))) / 60
+    minutes = (seconds(F.col("dropoff_datetime")) - seconds(F.col("pickup_datetime"))) / 60
     return trips.groupBy(F.to_date("pickup_datetime").alias("pickup_date")).agg(F.round(F.avg(minutes), 2).alias("avg_duration_min"))
 
 

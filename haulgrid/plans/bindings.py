@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulgrid.operators.integrate import hourly_weather, integrate, lookup, with_zones
+from haulgrid.operators.integrate import hour, hourly_weather, integrate, lookup, with_zones
 from haulgrid.operators.validate import DatasetSpec, trip_rule
 from haulgrid.sources.readers import table
 
@@ -42,7 +42,7 @@ def event_trips(spark: SparkSession, d: str) -> DataFrame:
 def event_readings(spark: SparkSession, d: str) -> DataFrame:
     views = table(spark, d, "events").where("event_type = 'view'")
     return views.select(
-        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("weather_hour"), (F.col("value") / 5).alias("temp"), (F.col("user_id") % 10 / 10).alias("precipitation"),
+        hour(F.col("ts")).alias("weather_hour"), (F.col("value") / 5).alias("temp"), (F.col("user_id") % 10 / 10).alias("precipitation"),
         (F.col("event_id") % 30).cast("double").alias("wind_speed"), (F.col("user_id") % 18 + 1).cast("int").alias("condition_code"), "event_id",
     )
 
@@ -53,7 +53,7 @@ def event_weather(spark: SparkSession, d: str) -> DataFrame:
 
 def event_air(spark: SparkSession, d: str) -> DataFrame:
     errors = table(spark, d, "events").where("event_type = 'error'")
-    return errors.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("aq_hour")).agg(F.avg("value").alias("pm25_hourly_avg"))
+    return errors.groupBy(hour(F.col("ts")).alias("aq_hour")).agg(F.avg("value").alias("pm25_hourly_avg"))
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
