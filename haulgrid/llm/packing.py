@@ -1,6 +1,6 @@
 """Packing of token sequences by Karmarkar-Karp multiway differencing.
 
-Each document's ids, with an end id, are cut into full windows and one remainder. Remainders are pooled as they
+Each document's ids, with an end id, are cut into full windows and a remainder in a few pieces. These are pooled as they
 come, a fixed number at a time, and a pool is divided into windows by multiway differencing: the two partial
 partitions with the largest spread are merged, largest part with smallest, until one partition is left. A pool
 starts with the least number of windows that could hold it; the number rises while any window exceeds the capacity.
@@ -26,6 +26,8 @@ WINDOW = 2048
 END_ID = 1
 #: Remainders divided at once: enough for even windows, few enough to keep the differencing cheap.
 POOL = 384
+#: Most ids of a remainder's piece: with several pieces to a window, differencing brings the windows within a few ids.
+PIECE = 512
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
@@ -78,7 +80,7 @@ def divide(sizes: list[int], capacity: int = WINDOW) -> tuple[np.ndarray, int]:
         parts = min(len(sizes), parts + max(1, parts // 100))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, pool: int = POOL) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, pool: int = POOL, piece: int = PIECE) -> DataFrame:
     """One row for each piece of a document: its place in the document and in a sequence, and its ids.
 
     ids are little-endian unsigned 32-bit. A null or empty text is a single end id. Repeated rows are packed each on
@@ -92,7 +94,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         count = 0
         out: list[list] = [[] for _ in range(8)]
-        held = 0
+        held = ended = 0
         waiting: list[tuple] = []
 
         def put(*row):
@@ -100,7 +102,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                 column.append(value)
 
         def settle():
-            nonlocal count
+            nonlocal count, ended
             at, parts = divide([len(x[2]) // 4 for x in waiting], window)
             total, offset = np.zeros(parts, np.int64), np.zeros(parts, np.int64)
             for x, w in zip(waiting, at, strict=True):
@@ -111,6 +113,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                 offset[w] += len(ids) // 4
             count += int((total > 0).sum())
             waiting.clear()
+            ended = 0
 
         def flush():
             nonlocal held
@@ -129,10 +132,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                 for start in range(0, whole, window):
                     put(doc_id, start, window, ids[4 * start : 4 * (start + window)], tokens, first + count, 0, window)
                     count += 1
-                if whole < tokens:
-                    waiting.append((doc_id, whole, ids[4 * whole :], tokens))
+                for start in range(whole, tokens, piece):
+                    waiting.append((doc_id, start, ids[4 * start : 4 * (start + piece)], tokens))
                 held += len(ids)
-                if len(waiting) >= pool:
+                ended += whole < tokens
+                if ended >= pool:
                     settle()
                 if held > 1 << 23:
                     yield flush()
