@@ -187,15 +187,18 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def _with_terms(docs: DataFrame, terms: DataFrame, most: int) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with a column ``_terms`` (revealing term to action) and the terms that hold for all rows beside it.
+    """``docs`` with one more column (revealing term to action), the last, and the terms that hold for all rows beside it.
 
     One lot of terms needs no pass of its own; of more, each marks the rows that hold its terms.
     """
     found = terms.groupBy("term").agg(F.max("action").alias("action"))
-    docs = docs.withColumn("_terms", F.lit(None).cast("map<string,string>"))
+    name = "_terms"
+    while name in docs.columns:
+        name += "_"
+    docs = docs.withColumn(name, F.lit(None).cast("map<string,string>"))
     if found.count() <= most:
         return docs, {t: a for t, a in found.collect()}
-    schema, at, text_at = docs.schema, docs.columns.index("_terms"), docs.columns.index("text")
+    schema, at, text_at = docs.schema, len(docs.columns) - 1, docs.columns.index("text")
     for lot in _lots(found, most):
         docs = docs.mapInArrow(_marker(dict(lot), at, text_at), schema)
     return docs, {}
