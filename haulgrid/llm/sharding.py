@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulgrid.llm.scratch import Scratch, few
+from haulgrid.llm.scratch import Scratch, few, small
 
 SHARDS = 24
 ROUNDS = 4
@@ -62,7 +62,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
 
     # Groups of linked documents, the large ones in parts; the tally of first labels is all that rounds work on.
     groups = base.groupBy(*_KEY).count().where("count > 1").select(*_KEY, F.ceil(F.col("count") / chunk).alias("parts"), F.ceil(F.col("count") / BUCKET_ROWS).alias("fine"))
-    rows = base.join(groups, _KEY, "left").select(
+    groups = scratch.table(groups, "groups", rows=n)  # so that the join below can split a hot group's rows
+    rows = base.join(small(groups), _KEY, "left").select(
         "doc_id", *_KEY, "r",
         F.when(F.col("parts").isNotNull(), F.pmod("r", "parts")).alias("part"),
         F.pmod(F.xxhash64("r", F.lit(5)), F.coalesce("fine", F.lit(1))).alias("fine"),
