@@ -333,9 +333,10 @@ def components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -
     else:
         own = own.withColumn("component", F.lit(None).cast("long"))
     own = own.withColumn("component", F.coalesce("component", "key"))
-    ids = own.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = own.join(ids, "component", "left")
-    return few(out, entered.count()).select("doc_id", "n_shingles", "key", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = entered.count()
+    ids = scratch.table(own.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "ids", rows=rows)
+    out = own.join(small(ids), "component", "left")
+    return few(out, rows).select("doc_id", "n_shingles", "key", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _linked(docs: DataFrame, entered: DataFrame, blocks: DataFrame, scratch: Scratch, width: int, num: int, den: int) -> DataFrame:
