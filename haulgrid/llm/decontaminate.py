@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulgrid.llm.scratch import Scratch
+from haulgrid.llm.scratch import Scratch, in_arrow
 from haulgrid.llm.textbytes import LOWER, U64, chunks, mix, signed, word_hashes, words
 
 WIDTH = 8
@@ -150,7 +150,7 @@ def template_windows(df: DataFrame, key: str, width: int = WIDTH, bitmaps: dict[
                 yield from part(batch.column(0).slice(i, j - i), data, offsets)
 
     source = df.select(F.col(key).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, WINDOWS)
+    return source.transform(in_arrow, run, WINDOWS)
 
 
 def _bitmap(hashes: DataFrame, count: int) -> bytes:
@@ -169,7 +169,7 @@ def item_widths(benchmark: DataFrame, width: int) -> list[int]:
             for _, _, data, offsets in chunks(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.minimum(np.diff(canonical(data, offsets)[2]), width)), pa.int32())], ["w"])
 
-    found = benchmark.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "w int").distinct().collect()
+    found = benchmark.select(F.col("text").cast("string").alias("text")).transform(in_arrow, run, "w int").distinct().collect()
     return sorted({width} | {r.w for r in found if r.w >= LITERALS})
 
 

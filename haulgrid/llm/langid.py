@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulgrid.llm.scratch import Scratch
+from haulgrid.llm.scratch import Scratch, in_arrow
 from haulgrid.llm.textbytes import LOWER, U64, chunks, word_hashes, words
 
 BUCKETS = 1 << 16
@@ -102,7 +102,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarra
         a, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(a * size + b, pa.int64()), pa.array(total[a, b], pa.int64())], ["cell", "n"])
 
-    cells = known.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = known.transform(in_arrow, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     cells = Scratch(docs.sparkSession, "lang").table(cells, "cells").toArrow()
     counts = np.zeros(max(1, len(langs)) * size)
     counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
@@ -210,7 +210,7 @@ def detect(docs: DataFrame, model, with_spans: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.string()), pa.array(rows[1], pa.float64()), pa.array(rows[2], kind)], ["doc_id", "lang_pred", "score", "spans"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id long, lang_pred string, score double, spans {SPANS}")
+    return source.transform(in_arrow, run, f"doc_id long, lang_pred string, score double, spans {SPANS}")
 
 
 def language_report(docs: DataFrame) -> DataFrame:
@@ -228,4 +228,4 @@ def in_a_language(docs: DataFrame, least: float = 0.2) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in _predictions(batch.column(at), held.value, False)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulgrid.llm.scratch import Scratch
+from haulgrid.llm.scratch import Scratch, in_arrow
 from haulgrid.llm.textbytes import LOWER, chunks, signed, word_hashes, words
 
 #: Class 0 is the border of a text, then FREQUENT words, then endings.
@@ -63,7 +63,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             found, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts, pa.int64())], ["word", "n"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).transform(in_arrow, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +91,7 @@ def neighbour_counts(docs: DataFrame, frequent: np.ndarray, order: np.ndarray) -
             some = found[lo : lo + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["cell", "n"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).transform(in_arrow, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def train(counts: np.ndarray, hidden: int = HIDDEN, steps: int = STEPS, rate: float = RATE, seed: int = 1) -> np.ndarray:
@@ -163,4 +163,4 @@ def score(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(pll, pa.float64()), mean], ["doc_id", "n_tokens", "pll", "score"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, pll double, score double")
+    return source.transform(in_arrow, run, "doc_id long, n_tokens long, pll double, score double")

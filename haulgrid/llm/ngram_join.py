@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulgrid.llm.components import connected_components
-from haulgrid.llm.scratch import Scratch, few, small, without_ids
+from haulgrid.llm.scratch import Scratch, few, in_arrow, small, without_ids
 from haulgrid.llm.textbytes import LOWER, SPACE, U64, chunks, mix, sequence_hash, signed, windows, word_hashes, words
 
 GROUPS = 128
@@ -114,7 +114,7 @@ def enter(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists], ["doc_id", "n_shingles", "key", "sigs"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, sigs array<long>")
+    return docs.transform(in_arrow, run, "doc_id long, n_shingles long, key long, sigs array<long>")
 
 
 def point(u: np.ndarray, groups: int = GROUPS) -> np.ndarray:
@@ -141,7 +141,7 @@ def points(docs: DataFrame, width: int) -> DataFrame:
             if rows[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _KINDS, strict=True)], names)
 
-    return docs.select("doc_id", "text", "key").mapInArrow(run, "key long, n long, point binary, wide binary, grams array<long>")
+    return docs.select("doc_id", "text", "key").transform(in_arrow, run, "key long, n long, point binary, wide binary, grams array<long>")
 
 
 _KINDS = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
@@ -256,7 +256,7 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, nearest: int | None) -> Da
                 yield from pairs(rows, np.array([0, rows.num_rows]))
 
     tile = ["sig", "row", "col"]
-    return tiles.select(*tile, "key", "comp", "side", "n", "point").repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, "a long, b long")
+    return tiles.select(*tile, "key", "comp", "side", "n", "point").repartition(*tile).sortWithinPartitions(*tile).transform(in_arrow, run, "a long, b long")
 
 
 def _single_tiles(blocks: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 yield part.select([0, 1]).filter(pa.array(_overlap(counts, rows, rows + len(rows)) * (num + den) >= num * n))
 
     sizes = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    return _both_sides(pairs, sets, "n", "wide").where(sizes).select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(run, "a long, b long")
+    return _both_sides(pairs, sets, "n", "wide").where(sizes).select("a", "b", "n_a", "n_b", "wide_a", "wide_b").transform(in_arrow, run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

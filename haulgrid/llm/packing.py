@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haulgrid.llm.scratch import in_arrow
 from haulgrid.llm.tokens import encoder
 
 WINDOW = 2048
@@ -143,7 +144,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         settle()
         yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(in_arrow, run, SCHEMA)
 
 
 def packing_report(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulgrid.llm.scratch import Scratch
+from haulgrid.llm.scratch import Scratch, in_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity that are its context, and on each side of a term that tell surroundings apart.
@@ -113,7 +113,7 @@ def contexts(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["entity", "term", "around"])
 
-    return _source(docs).mapInArrow(run, "entity string, term string, around long")
+    return _source(docs).transform(in_arrow, run, "entity string, term string, around long")
 
 
 def _counted(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -128,7 +128,7 @@ def _counted(docs: DataFrame, terms: list[str]) -> DataFrame:
                     counts[term] = counts.get(term, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["term", "documents"])
 
-    return _source(docs).mapInArrow(run, "term string, documents long").groupBy("term").agg(F.sum("documents").alias("documents"))
+    return _source(docs).transform(in_arrow, run, "term string, documents long").groupBy("term").agg(F.sum("documents").alias("documents"))
 
 
 def _lots(df: DataFrame, most: int) -> Iterator[list]:
@@ -200,7 +200,7 @@ def _with_terms(docs: DataFrame, terms: DataFrame, most: int) -> tuple[DataFrame
         return docs, {t: a for t, a in found.collect()}
     schema, at, text_at = docs.schema, len(docs.columns) - 1, docs.columns.index("text")
     for lot in _lots(found, most):
-        docs = docs.mapInArrow(_marker(dict(lot), at, text_at), schema)
+        docs = docs.transform(in_arrow, _marker(dict(lot), at, text_at), schema)
     return docs, {}
 
 
@@ -238,7 +238,7 @@ def find(docs: DataFrame, most: int = TERMS) -> DataFrame:
             kind = [*[pa.int64()] * 4, pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(rows, kind, strict=True))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return marked.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return marked.transform(in_arrow, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def sanitise(docs: DataFrame, most: int = TERMS) -> DataFrame:
@@ -256,4 +256,4 @@ def sanitise(docs: DataFrame, most: int = TERMS) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:terms_at])
 
-    return marked.mapInArrow(run, docs.schema)
+    return marked.transform(in_arrow, run, docs.schema)

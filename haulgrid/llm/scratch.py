@@ -4,13 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Most rows of one or two integers that may be broadcast: 4 million are about 64 MB.
 BROADCAST_ROWS = 4_000_000
 
+#: Bytes of an Arrow batch between JVM and Python; a longer row is a batch by itself.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` in batches of BATCH_BYTES, or of what the session sets itself.
+
+    Spark's own bound lets a batch hold a whole split, at both ends of the pipe and with each buffer grown by doubling.
+    The setting is read when the plan runs, so it is the session's.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset (tests), one of its own."""
