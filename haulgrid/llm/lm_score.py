@@ -1,12 +1,13 @@
 """Documents scored by masked pseudo-likelihood.
 
-Every word is a class: the most frequent words have one each, the others share classes by their last bytes. A small
-network predicts the class of each word from the word before and the word after it; the sum of the log-probabilities
-that it gives to a document's words is the document's score.
-
-All words of all documents are counted: first each word, for the classes, then each (before, word, after). The
-second table has at most CLASSES cubed cells, whatever the corpus, so the network is trained in numpy on the driver
-on exact counts, and its log-probabilities for every pair of neighbours are a table of the same bound.
+Every word has a class: the most frequent words have one each, the others share classes by their last bytes. A small
+network predicts the class of each word from the word before and the word after it, and the word follows from its class
+by its exact share: log p(word | before, after) = log p(class | before, after) + log(count(word) / count(class)). The sum
+over a document's words is its score.
+
+All words of all documents are counted: first each word, then each (before, word, after) of classes. The first table
+grows with the corpus, stays in the shared folder and is joined with the words of each document. The second has at most
+CLASSES cubed cells, so the network is trained in numpy on the driver on exact counts.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from haulgrid.llm.textbytes import LOWER, chunks, signed, word_hashes, words
 #: Class 0 is the border of a text, then FREQUENT words, then endings.
 CLASSES, FREQUENT = 128, 79
 HIDDEN, STEPS, RATE = 24, 120, 0.05
+#: Words whose shares are broadcast, some 100 MB in each JVM; those of a larger vocabulary are joined by a shuffle.
+BROADCAST_WORDS = 1_000_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -55,24 +58,35 @@ def _cells(classes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (hash) and count over all documents."""
+    """word (hash), its ending, and count over all documents."""
 
     def run(batches):
         for batch in batches:
-            parts = [_tokens(data, offsets)[0] for _, _, data, offsets in chunks(batch.column(0))]
-            found, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts, pa.int64())], ["word", "n"])
+            parts = [_tokens(data, offsets)[:2] for _, _, data, offsets in chunks(batch.column(0))]
+            hashes, last = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
+            found, at, counts = np.unique(hashes, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(last[at], pa.int32()), pa.array(counts, pa.int64())], ["word", "last", "n"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).transform(in_arrow, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = docs.select(F.col("text").cast("string").alias("text")).transform(in_arrow, run, "word long, last int, n long")
+    return found.groupBy("word").agg(F.max("last").alias("last"), F.sum("n").alias("n"))
 
 
-def _vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The frequent words' hashes in order, and each one's rank."""
-    top = np.array([r.word for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()], np.int64)
+    counts = word_counts(docs) if counts is None else counts
+    top = np.array([r.word for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()], np.int64)
     order = np.argsort(top)
     return top[order], order
 
 
+def within_classes(counts: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """word and log(count(word) / count(class)) of every word that shares a class; a frequent word is its class."""
+    known = counts.sparkSession.createDataFrame([(int(w),) for w in frequent], "word long")
+    others = counts.join(F.broadcast(known), "word", "left_anti").withColumn("ending", F.col("last") % (CLASSES - FREQUENT - 1))
+    classes = others.groupBy("ending").agg(F.sum("n").alias("all"))
+    return others.join(F.broadcast(classes), "ending").select("word", F.log(F.col("n") / F.col("all")).alias("log_share"))
+
+
 def neighbour_counts(docs: DataFrame, frequent: np.ndarray, order: np.ndarray) -> DataFrame:
     """cell (before, word, after) and count over all documents."""
 
@@ -142,25 +156,41 @@ def score(docs: DataFrame) -> DataFrame:
     a null doc_id stays null; an empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "lm")
-    frequent, order = _vocabulary(docs)
+    vocabulary = scratch.table(word_counts(docs), "words")
+    frequent, order = _vocabulary(docs, vocabulary)
     cells = scratch.table(neighbour_counts(docs, frequent, order), "cells").toArrow()
     counts = np.zeros(CLASSES**3, np.float64)
     counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     model = docs.sparkSession.sparkContext.broadcast(train(counts.reshape(CLASSES, CLASSES, CLASSES)).ravel())
 
+    def part(rows, ids, data, offsets):
+        hashes, last, at = _tokens(data, offsets)
+        classes = _classes(hashes, last, frequent, order)
+        logs = model.value[_cells(classes, at)].astype(np.float64) if len(hashes) else np.zeros(0)
+        pll = np.array([logs[a:b].sum() for a, b in zip(at[:-1], at[1:], strict=True)])
+        # Each text's words that share a class, once with their number.
+        sharing = np.flatnonzero(classes > FREQUENT)
+        text, word = np.repeat(np.arange(len(at) - 1), np.diff(at))[sharing], hashes[sharing]
+        by = np.lexsort((word, text))
+        text, word = text[by], word[by]
+        first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (word[1:] != word[:-1])])) if len(text) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(text)))
+        ends = pa.array(np.searchsorted(text[first], np.arange(len(at))), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((word[first], pa.int64()), (times, pa.int32()))]
+        return pa.RecordBatch.from_arrays([rows, ids, pa.array(np.diff(at), pa.int64()), pa.array(pll, pa.float64()), *lists], ["row", "doc_id", "n_tokens", "class_pll", "words", "times"])
+
     def run(batches):
-        table = model.value
         for batch in batches:
-            sizes, sums = [], []
-            for _, _, data, offsets in chunks(batch.column(1)):
-                hashes, last, at = _tokens(data, offsets)
-                sizes.append(np.diff(at))
-                logs = table[_cells(_classes(hashes, last, frequent, order), at)].astype(np.float64) if len(hashes) else np.zeros(0)
-                sums.append(np.array([logs[a:b].sum() for a, b in zip(at[:-1], at[1:], strict=True)]))
-            n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            pll = np.concatenate(sums) if sums else np.zeros(0)
-            mean = pa.array(np.divide(pll, n, where=n > 0, out=np.zeros(len(n))), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(pll, pa.float64()), mean], ["doc_id", "n_tokens", "pll", "score"])
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.transform(in_arrow, run, "doc_id long, n_tokens long, pll double, score double")
+            for i, j, data, offsets in chunks(batch.column(2)):
+                yield part(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), data, offsets)
+
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = "row long, doc_id long, n_tokens long, class_pll double, words array<long>, times array<int>"
+    parts = scratch.table(source.transform(in_arrow, run, schema), "parts", from_scan=True)
+    terms = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    shares = scratch.table(within_classes(vocabulary, frequent), "shares")
+    if shares.count() <= BROADCAST_WORDS:
+        shares = F.broadcast(shares)
+    own = terms.join(shares, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_share")).alias("own"))
+    pll = F.col("class_pll") + F.coalesce("own", F.lit(0.0))
+    return parts.join(own, "row", "left").select("doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("score"))

@@ -387,6 +387,20 @@ def test_lm_counts_and_scores(spark):
     assert got[0].score > uniform + 1
 
 
+@pytest.mark.parametrize("broadcast", [0, lm_score.BROADCAST_WORDS])
+def test_lm_scores_each_word(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(lm_score, "BROADCAST_WORDS", broadcast)
+    common = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(79)]
+    texts = [" ".join(common)] * 60 + [f"{common[0]} {w} {common[1]} {w}" for w in ["brane"] * 20 + ["xyzne"] + ["plane"] * 3] + [None, ""]
+    rows = [(1, t) for t in texts]
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows) and sum(r.n_tokens == 0 and r.pll == 0 and r.score is None for r in got) == 2
+    found = sorted({round(r.pll, 6) for r in got if r.n_tokens == 4})
+    # One class, the same neighbours: only the words' own shares (2 of 48, 6 of 48, 40 of 48, twice in a text) differ.
+    assert len(found) == 3
+    assert math.isclose(found[1] - found[0], 2 * math.log(3), abs_tol=1e-4) and math.isclose(found[2] - found[1], 2 * math.log(40 / 6), abs_tol=1e-4)
+
+
 def test_lm_prefers_prose(spark, docs):
     rng = random.Random(4)
     rows = [(k, t) for k, t in texts_of(docs) if len(t.split()) > 30][:40]
