@@ -1,6 +1,6 @@
 """URL filter: explicit rules, and per host a tree of path templates judged by smoothed labelled purity.
 
-A path is its first three segments and whether more follow. Numbers and long hexadecimal segments become typed
+A path is all of its segments. Numbers and long hexadecimal segments become typed
 wildcards; where a node has very many children, rare ones become ``*``. From the leaves up, branches whose share of bad labels
 is no further from their siblings' than chance allows are merged. A template is rejected if its share of bad labels,
 smoothed by the share of all pages, reaches a half.
@@ -27,7 +27,6 @@ RULES = (
 #: Children of a node from which rare ones are generalised; deviations that chance allows; labels that the prior weighs as
 #: much as; purity at which a template is rejected.
 CHILDREN, DEVIATIONS, PRIOR, REJECT = 32, 1.96, 10.0, 0.5
-DEPTH = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,47 +56,64 @@ def _typed(segment: Column) -> Column:
     )
 
 
-def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """The tree's leaves: host, segments s1 to s3 (empty where there is none) and more, their templates t1 to t3, and counts.
+def templates(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """The tree's leaves: host, segments s, their template t (both arrays), and counts; and the depth of the tree.
 
-    ``pages`` has host, s1, s2, s3, more and bad (1, 0 or null without a label).
+    ``pages`` has host, s and bad (1, 0 or null without a label). From the root down, a leaf stays open until its path ends
+    or it is alone below its node, where nothing is left to generalise; the depth is that of the last open node.
     """
-    leaves = pages.groupBy("host", "s1", "s2", "s3", "more").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-    leaves = scratch.table(leaves, "leaves-0")
-    n = leaves.count()
-    node = ["host"]
-    for k in range(1, DEPTH + 1):
-        child = f"s{k}"
-        sizes = leaves.groupBy(*node, child).agg(F.sum("n").alias("own"))
-        totals = sizes.groupBy(*node).agg(F.count_if(F.col(child) != "").alias("kids"), F.sum("own").alias("total"))
-        rare = (F.col("kids") > CHILDREN) & (F.col("own") * CHILDREN < F.col("total")) & (F.col(child) != "")
-        named = sizes.join(totals, node).select(*node, child, F.when(rare, F.lit("*")).otherwise(F.col(child)).alias(f"t{k}"))
-        leaves = scratch.table(leaves.join(named, [*node, child]), f"leaves-{k}", rows=n)
-        node = [*node, f"t{k}"]
-    return leaves
-
-
-def purities(leaves: DataFrame, scratch: Scratch) -> DataFrame:
-    """host, t1 to t3, more, and the labelled and bad of the branch that each template ends up in.
-
-    Level by level, the branches of a node that are still open are compared with all of them together: one without
-    labels, or within the deviations that its number of labels allows, is merged with the others of that kind and stays
-    open for the next level; any other is judged by itself.
+    leaves = pages.groupBy("host", "s").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+    leaves = scratch.table(leaves.withColumn("t", F.array().cast("array<string>")), "leaves-0")
+    n, schema, level, done = leaves.count(), leaves.schema, 0, []
+    rows = n
+    while rows:
+        level += 1
+        child = F.coalesce(F.get("s", F.lit(level - 1)), F.lit("")).alias("child")
+        leaves = leaves.withColumn("child", child)
+        sizes = leaves.groupBy("host", "t", "child").agg(F.sum("n").alias("own"), F.count("*").alias("below"))
+        totals = sizes.groupBy("host", "t").agg(F.count_if(F.col("child") != "").alias("kids"), F.sum("own").alias("total"))
+        rare = (F.col("kids") > CHILDREN) & (F.col("own") * CHILDREN < F.col("total")) & (F.col("child") != "")
+        named = sizes.join(totals, ["host", "t"]).select("host", "t", "child", "below", F.when(rare, F.lit("*")).otherwise(F.col("child")).alias("name"))
+        # Rare children become one node, so its leaves are together even where each child has one.
+        together = named.groupBy("host", "t", "name").agg(F.sum("below").alias("leaves"))
+        named = named.drop("below").join(together, ["host", "t", "name"])
+        ends = F.col("child") == ""
+        alone = F.col("leaves") == 1
+        t = F.when(ends, F.col("t")).otherwise(F.concat("t", F.array("name")))
+        rest = F.slice("s", F.lit(level + 1), F.greatest(F.size("s") - level, F.lit(0)))
+        found = leaves.join(named, ["host", "t", "child"]).select("host", "s", "n", "labelled", "bad", F.when(~ends & alone, F.concat(t, rest)).otherwise(t).alias("t"), (ends | alone).alias("done"))
+        found = scratch.table(found, f"leaves-{level}", rows=rows)
+        done.append(f"{scratch.path}/leaves-{level}")
+        leaves = scratch.spark.read.schema(found.schema).parquet(done[-1]).where("not done").drop("done")
+        rows = leaves.count()
+    if not done:
+        return scratch.spark.createDataFrame([], schema), 0
+    return scratch.spark.read.schema(found.schema).parquet(*done).where("done").select(*schema.names), level
+
+
+def purities(leaves: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
+    """host, t, and the labelled and bad of the branch that each template ends up in.
+
+    From the deepest level up, the branches of a node that are still open are compared with all of them together: one
+    without labels, or within the deviations that its number of labels allows, is merged with the others of that kind and
+    stays open for the next level; any other is judged by itself. A path that ends at a node is a branch of it.
     """
-    key = ["host", "t1", "t2", "t3", "more"]
-    rows = leaves.groupBy(*key).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).withColumn("open", F.lit(True))
+    rows = leaves.groupBy("host", "t").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).withColumn("open", F.lit(True))
     n = leaves.count()
     rows = scratch.table(rows, "branches-0", rows=n)
-    for level, (branch, parent) in enumerate(((key, key[:3]), (key[:3], key[:2]), (key[:2], key[:1])), 1):
-        groups = rows.where("open").groupBy(*branch).agg(F.max("labelled").alias("l"), F.max("bad").alias("b"))
-        pooled = groups.groupBy(*parent).agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
+    for level in range(depth, 0, -1):
+        # A template that ends above this level's nodes waits for its own level.
+        rows = rows.withColumns({"now": F.col("open") & (F.size("t") >= level - 1), "branch": F.slice("t", 1, level), "parent": F.slice("t", 1, max(level - 1, 0)) if level > 1 else F.array().cast("array<string>")})
+        groups = rows.where("now").groupBy("host", "branch", "parent").agg(F.max("labelled").alias("l"), F.max("bad").alias("b"))
+        pooled = groups.groupBy("host", "parent").agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
         share = (F.col("all_b") + 1) / (F.col("all_l") + 2)
         near = F.abs(F.col("b") / F.greatest("l", F.lit(1)) - share) <= DEVIATIONS * F.sqrt(share * (1 - share) / F.greatest("l", F.lit(1)))
-        groups = groups.join(pooled, parent).select(*branch, "l", "b", ((F.col("l") == 0) | near).alias("like"))
-        merged = groups.where("like").groupBy(*parent).agg(F.sum("l").alias("m_l"), F.sum("b").alias("m_b"))
-        rows = rows.join(groups.select(*branch, "like"), branch, "left").join(merged, parent, "left")
-        joins = F.col("open") & F.coalesce("like", F.lit(False))
-        now = rows.select(*key, F.when(joins, F.col("m_l")).otherwise(F.col("labelled")).alias("labelled"), F.when(joins, F.col("m_b")).otherwise(F.col("bad")).alias("bad"), joins.alias("open"))
+        groups = groups.join(pooled, ["host", "parent"]).select("host", "branch", "parent", "l", "b", ((F.col("l") == 0) | near).alias("like"))
+        merged = groups.where("like").groupBy("host", "parent").agg(F.sum("l").alias("m_l"), F.sum("b").alias("m_b"))
+        rows = rows.join(groups.select("host", "branch", "like"), ["host", "branch"], "left").join(merged, ["host", "parent"], "left")
+        like = F.coalesce("like", F.lit(False))
+        joins = F.col("now") & like
+        now = rows.select("host", "t", F.when(joins, F.col("m_l")).otherwise(F.col("labelled")).alias("labelled"), F.when(joins, F.col("m_b")).otherwise(F.col("bad")).alias("bad"), (F.col("open") & (like | ~F.col("now"))).alias("open"))
         rows = scratch.table(now, f"branches-{level}", rows=n)
     return rows
 
@@ -112,18 +128,15 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "urls")
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    segments = F.filter(F.split("path", "/"), lambda x: x != "")
-    typed = [F.coalesce(_typed(F.get("_s", F.lit(k - 1))), F.lit("")).alias(f"s{k}") for k in range(1, DEPTH + 1)]
-    rows = rows.withColumn("_s", segments).select("page_id", "host", "path", *typed, (F.size("_s") > DEPTH).alias("more"))
+    segments = F.transform(F.filter(F.split("path", "/"), lambda x: x != ""), _typed)
+    rows = rows.withColumn("s", segments)
     rows = scratch.table(rows.join(labelled.select("page_id", F.col("bad").cast("int").alias("bad")), "page_id", "left"), "pages")
-    leaves = templates(rows, scratch)
+    leaves, depth = templates(rows, scratch)
     prior = rows.agg(F.coalesce(F.try_divide(F.sum("bad"), F.count("bad")), F.lit(0.0))).first()[0]
-    names = ["host", "t1", "t2", "t3", "more"]
     smoothed = (F.col("bad") + PRIOR * F.lit(prior)) / (F.col("labelled") + PRIOR)
-    found = purities(leaves, scratch).select(*names, F.when(smoothed >= REJECT, "block").otherwise("allow").alias("by_template"))
-    segments = ["host", "s1", "s2", "s3", "more"]
-    of = leaves.join(found, names).select(*segments, F.concat_ws("/", "t1", "t2", "t3").alias("template"), "by_template")
-    judged = rows.join(small(scratch.table(of, "verdicts", rows=leaves.count())), segments, "left").withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    found = purities(leaves, depth, scratch).select("host", "t", F.when(smoothed >= REJECT, "block").otherwise("allow").alias("by_template"))
+    of = leaves.join(found, ["host", "t"]).select("host", "s", F.concat_ws("/", "t").alias("template"), "by_template")
+    judged = rows.join(small(scratch.table(of, "verdicts", rows=leaves.count())), ["host", "s"], "left").withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("_rule")["action"], "by_template", F.lit("allow"))
     return judged.select("page_id", "host", "path", F.col("_rule")["rule"].alias("rule"), verdict.alias("verdict"), "template")
 

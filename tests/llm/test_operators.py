@@ -517,6 +517,21 @@ def test_url_filter(spark):
     assert urlfilter.judge(pages.limit(0), known).count() == 0 and urlfilter.judge(pages, known.limit(0)).where("rule is null and verdict = 'block'").count() == 0
 
 
+def test_url_branches_at_any_depth(spark):
+    rows, labels, want = [], {}, {}
+    for k in range(240):
+        at = ("en/2024/01/casino/{}.html", "en/2024/01/news/{}.html", "a/b/c/d/e/spam/f/{}", "a/b/c/d/e/fine/f/{}")[k % 4]
+        rows.append((k, f"https://h.org/{at.format(k)}"))
+        want[k] = "block" if k % 2 == 0 else "allow"
+        if k < 160:
+            labels[k] = int(k % 2 == 0)
+    rows.append((999, "https://h.org/" + "/".join(f"s{i}" for i in range(400))))  # a long path alone is no level more
+    found = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(list(labels.items()), "page_id long, bad int"))
+    got = {r.page_id: r for r in found.collect()}
+    assert {k: got[k].verdict for k in want} == want and len(got) == 241
+    assert got[0].template == "en/<n>/<n>/casino/<n>.html" and got[2].template == "a/b/c/d/e/spam/f/<n>"
+
+
 def test_url_query(spark):
     pages, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("pages", "labels"))
     quality = {r.doc_id: int(r.quality == 0) for r in labels.collect()}
