@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulgrid.llm.scratch import Scratch, in_arrow
@@ -22,7 +22,9 @@ from haulgrid.llm.textbytes import LOWER, U64, chunks, mix, signed, word_hashes,
 WIDTH = 8
 #: An occurrence counts from this share of an item's windows on.
 COVERAGE = 0.5
-#: Words of a window that must not be placeholders.
+#: Words of an unbroken run that count whatever their share, and words that may stand between an item's runs.
+RUN, GAP = 13, 8
+#: Words of a window that must not be placeholders; one with fewer is entered with its values instead.
 LITERALS = 4
 #: Windows of a benchmark for which a bitmap (16 bits each) is used: 8 MB at most.
 BITMAP_WINDOWS = 1 << 22
@@ -98,11 +100,13 @@ def _windows(templates: np.ndarray, begins: np.ndarray, width: int) -> np.ndarra
     return signed(mix(out))
 
 
-WINDOWS = "id long, hash long, at int, width int, of int, slots array<long>"
+WINDOWS = "id long, hash long, at int, width int, of int, of_typed int, typed boolean, slots array<long>"
 
 
 def template_windows(df: DataFrame, key: str, width: int = WIDTH, bitmaps: dict[int, bytes] | None = None, item: bool = False) -> DataFrame:
-    """Windows of each text: hash, place, width, the text's number of windows, and slots (a placeholder's value, else 0).
+    """Windows of each text: hash, place, width, the text's numbers of windows and of typed ones, whether it is one, and slots.
+
+    A slot is a placeholder's value, else 0. A window with too few literals is not typed: it stands for its own values.
 
     An item shorter than ``width`` is one window of its own width (so documents are also read at each such width), and
     its first word is entered as a name too, as it may stand inside a sentence elsewhere.
@@ -126,23 +130,25 @@ def template_windows(df: DataFrame, key: str, width: int = WIDTH, bitmaps: dict[
             place = np.arange(total) - np.repeat(np.cumsum(own) - own, own)
             begins = at[:-1][text] + place
             enough = literal[begins + w] - literal[begins] >= min(LITERALS, w)
-            text, place, begins = text[enough], place[enough], begins[enough]
+            of_typed = np.bincount(text[enough], minlength=len(counts))
             hashes = _windows(templates, begins, w)
+            few = np.flatnonzero(~enough)
+            hashes[few] = _windows(values, begins[few], w)
             if bitmaps:
                 bits = np.frombuffer(bitmaps[w], np.uint8)
                 spot = hashes.view(np.uint64) & U64(len(bits) * 8 - 1)
                 there = (bits[(spot >> U64(3)).astype(np.int64)] >> (spot & U64(7)).astype(np.uint8)) & 1 > 0
-                text, place, begins, hashes = text[there], place[there], begins[there], hashes[there]
-            rows.append((text, hashes, place, w, own[text], begins))
+                text, place, begins, hashes, enough = text[there], place[there], begins[there], hashes[there], enough[there]
+            rows.append((text, hashes, place, w, own[text], of_typed[text], enough, begins))
             if item:
                 named = templates.copy()
                 named[at[:-1][counts > 0]] = _NAME
-                head = place == 0
-                rows.append((text[head], _windows(named, begins[head], w), place[head], w, own[text[head]], begins[head]))
-        for text, hashes, place, w, of, begins in rows:
+                head = (place == 0) & enough
+                rows.append((text[head], _windows(named, begins[head], w), place[head], w, own[text[head]], of_typed[text[head]], enough[head], begins[head]))
+        for text, hashes, place, w, of, of_typed, typed, begins in rows:
             if len(text):
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1) * w, pa.int32()), pa.array(signed(slots[begins[:, None] + np.arange(w)].ravel()), pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), pa.array(hashes), pa.array(place, pa.int32()), pa.array(np.full(len(text), w), pa.int32()), pa.array(of, pa.int32()), lists], ["id", "hash", "at", "width", "of", "slots"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1) * w, pa.int32()), pa.array(signed(np.where(typed[:, None], slots[begins[:, None] + np.arange(w)], U64(0)).ravel()), pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), pa.array(hashes), pa.array(place, pa.int32()), pa.array(np.full(len(text), w), pa.int32()), pa.array(of, pa.int32()), pa.array(of_typed, pa.int32()), pa.array(typed), lists], ["id", "hash", "at", "width", "of", "of_typed", "typed", "slots"])
 
     def run(batches):
         for batch in batches:
@@ -176,9 +182,10 @@ def item_widths(benchmark: DataFrame, width: int) -> list[int]:
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
     """One row for each occurrence: doc_id, item_id, start (word), coverage, and whether its slots differ (changed).
 
-    An occurrence is a run of an item's windows at one distance in a document, with at least ``coverage`` of the windows
-    and consistent slots. Nulls and empty texts have no windows, nor have items under four words or windows of
-    placeholders only; a null doc_id or item_id is not reported. Repeated rows count once. Empty tables give no rows.
+    An occurrence has consistent slots, and is at least ``coverage`` of an item's windows at one distance in a document, or
+    at distances within GAP words of the next, or an unbroken run of RUN words. Where at least half of an item's windows
+    are typed, their share alone is enough. Nulls and empty texts have no windows, nor have items under four words; a null
+    doc_id or item_id is not reported. Repeated rows count once. Empty tables give no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
@@ -194,17 +201,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: f
     bitmaps = {w: _bitmap(items.where(F.col("width") == w), n) if n <= BITMAP_WINDOWS else b"\xff" * 8192 for w, n in counts.items()}
     found = template_windows(docs, "doc_id", width, bitmaps).where("id is not null")
     pairs = found.select(F.col("id").alias("doc_id"), "hash", F.col("at").alias("doc_at"), "width", F.col("slots").alias("doc_slots")).join(
-        items.select(F.col("id").alias("item_id"), "hash", "at", "width", "of", F.col("slots").alias("item_slots")), ["hash", "width"]
+        items.select(F.col("id").alias("item_id"), "hash", "at", "width", "of", "of_typed", "typed", F.col("slots").alias("item_slots")), ["hash", "width"]
     )
-    pairs = scratch.table(pairs.select("doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("start"), "at", "of", "doc_slots", "item_slots").distinct(), "pairs")
-    run = ["doc_id", "item_id", "start"]
-    spans = pairs.groupBy(*run).agg(F.countDistinct("at").alias("n"), F.max("of").alias("of"))
+    pairs = scratch.table(pairs.select("doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("start"), "at", "width", "of", "of_typed", "typed", "doc_slots", "item_slots").distinct(), "pairs")
+    # Windows are looked at by distance, by distances near each other, and by unbroken runs.
+    places = pairs.select("doc_id", "item_id", "start", "at").distinct()
+    both = Window.partitionBy("doc_id", "item_id").orderBy("start")
+    near = places.select("doc_id", "item_id", "start").distinct().withColumn("far", (F.col("start") - F.coalesce(F.lag("start").over(both), F.col("start")) > GAP).cast("int"))
+    near = near.select("doc_id", "item_id", "start", F.sum("far").over(both.rowsBetween(Window.unboundedPreceding, 0)).alias("cluster"))
+    line = Window.partitionBy("doc_id", "item_id", "start").orderBy("at")
+    places = places.withColumn("island", F.col("at") - F.row_number().over(line)).join(near, ["doc_id", "item_id", "start"])
+    kinds = ((0, F.col("start"), F.lit(0)), (1, F.col("cluster"), F.lit(0)), (2, F.col("start"), F.col("island")))
+    kinds = [F.struct(F.lit(k).alias("kind"), x.cast("long").alias("x"), y.cast("long").alias("y")) for k, x, y in kinds]
+    pairs = pairs.join(places, ["doc_id", "item_id", "start", "at"]).withColumn("run", F.explode(F.array(*kinds)))
+    run = ["doc_id", "item_id", "cluster", "run"]
+    spans = pairs.groupBy(*run).agg(F.min("start").alias("start"), F.countDistinct("at").alias("n"), F.count_distinct(F.when(F.col("typed"), F.col("at"))).alias("n_typed"), F.max("of").alias("of"), F.max("of_typed").alias("of_typed"), F.max("width").alias("width"))
     # Each slot of the item with the value it has in the document: one value only, all through an occurrence.
     slots = pairs.select(*run, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select(*run, F.col("s.item_slots").alias("theirs"), F.col("s.doc_slots").alias("ours"))
     slots = slots.where("theirs <> 0 and ours <> 0").groupBy(*run, "theirs").agg(F.countDistinct("ours").alias("values"), F.max((F.col("theirs") != F.col("ours")).cast("int")).alias("changed"))
     slots = slots.groupBy(*run).agg(F.max("values").alias("values"), F.max("changed").alias("changed"))
-    both = spans.join(slots, run, "left").where((F.col("n") >= F.col("of") * coverage) & (F.coalesce("values", F.lit(1)) == 1))
-    return both.select(*run, (F.col("n") / F.col("of")).alias("coverage"), (F.coalesce("changed", F.lit(0)) == 1).alias("changed"))
+    typed = F.when(F.col("of_typed") * 2 >= F.col("of"), F.col("n_typed") / F.col("of_typed")).otherwise(0.0)
+    found = spans.join(slots, run, "left").where(F.coalesce("values", F.lit(1)) == 1).withColumn("coverage", F.greatest(F.col("n") / F.col("of"), typed))
+    whole = (F.col("run.kind") < 2) & (F.col("coverage") >= coverage)
+    unbroken = (F.col("run.kind") == 2) & (F.col("n") + F.col("width") - 1 >= RUN)
+    found = found.where(whole | unbroken).withColumn("first", F.min("run.kind").over(Window.partitionBy("doc_id", "item_id", "cluster"))).where(F.col("run.kind") == F.col("first"))
+    return found.select("doc_id", "item_id", "start", "coverage", (F.coalesce("changed", F.lit(0)) == 1).alias("changed"))
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

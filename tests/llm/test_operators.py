@@ -361,6 +361,17 @@ def test_sanitise_keeps_columns(odd):
     assert Counter(r.text for r in got.collect()) == Counter(r.text for r in odd.collect())
 
 
+def test_parts_and_numbers_of_items(spark):
+    sums = "Compute 12 + 35 + 48 + 7 and then 19 - 4"
+    long = " ".join(f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ra", "so") for b in ("ban", "cor", "dus", "fel", "gim", "hov", "jat", "kep"))
+    short = "a wooden bridge crosses the quiet stream behind our mill where grey herons wait for small silver fish to swim slowly past them at dusk"
+    words = short.split()
+    items = [(1, sums), (2, long), (3, short), (4, "Add 3 4 5")]
+    rows = [(1, f"so {sums} gives"), (2, " ".join(long.split()[10:35])), (3, " ".join([*words[:12], "indeed", *words[12:]])), (4, "we add 3 4 5 here"), (5, "Compute 13 + 36 + 49 + 8 and then 20 - 5"), (6, " ".join(long.split()[:11])), (7, "add 4 5 6")]
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k, k) for k in (1, 2, 3, 4)} and not any(r.changed for r in found)
+
+
 def test_lm_counts_and_scores(spark):
     texts = ["the cat sat", "the cat ran", None, "", "the dog sat on the mat"] * 3
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
