@@ -148,12 +148,15 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 
 def label(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """As ``viterbi``; where no stretch gains the penalty, the one best language without running it."""
+    """As ``viterbi``; where no stretch gains half the penalty, the one best language without running it.
+
+    A path of m + 1 stretches pays m penalties, and each stretch gains the most that any does over the best language.
+    """
     total = scores.sum(axis=0, dtype=np.float64)
     top = int(total.argmax())
     gain = np.cumsum(scores.astype(np.float64) - scores[:, top : top + 1], axis=0)
     low = np.minimum.accumulate(np.concatenate([np.zeros((1, gain.shape[1])), gain[:-1]]), axis=0)
-    if (gain - low).max() < switch:
+    if 2 * (gain - low).max() < switch:
         return np.full(len(scores), top)
     return viterbi(scores, switch)
 

@@ -453,6 +453,12 @@ def test_label_is_viterbi():
         assert math.isclose(cost(path), cost(langid.viterbi(scores, 8.0)), abs_tol=1e-6)
 
 
+def test_label_of_two_languages_beside_the_best():
+    one = np.array([0.0] * 3 + [-12.0] * 3)
+    scores = np.stack([one, one[::-1], np.full(6, -5.0)], axis=1)
+    assert langid.label(scores, 20.0).tolist() == langid.viterbi(scores, 20.0).tolist() == [0] * 3 + [1] * 3
+
+
 def brute_urls(rows, labels):
     """page_id to (host, path, rule, verdict), from the rules and the tree as described."""
     pages, leaf = {}, defaultdict(lambda: [0, 0, 0])
