@@ -1,13 +1,22 @@
-"""Documents scored by masked pseudo-likelihood.
+"""Documents scored by masked pseudo-likelihood: every word is predicted from the words on both of its sides.
 
-Every word has a class: the most frequent words have one each, the others share classes by their last bytes. A small
-network predicts the class of each word from the word before and the word after it, and the word follows from its class
-by its exact share: log p(word | before, after) = log p(class | before, after) + log(count(word) / count(class)). The sum
-over a document's words is its score.
+A word is a token. Words belong to CLASSES by their last two bytes; the LEAVES - 1 most frequent words of each class are
+leaves of their own (some 4,000 words), all rarer ones share leaf 0 and are spelt. With the WINDOW words before and after it
 
-All words of all documents are counted: first each word, then each (before, word, after) of classes. The first table
-grows with the corpus, stays in the shared folder and is joined with the words of each document. The second has at most
-CLASSES cubed cells, so the network is trained in numpy on the driver on exact counts.
+    log p(word | window) = log p(class | window) + log p(leaf | class, window) [+ log p(spelling | class), if leaf 0]
+
+*Network.* The window's words are embedded, weighted by place and summed; of that a tanh layer feeds a softmax over the
+classes and, for each class, one over its leaves. It is trained in numpy on every word of every document: in each of ROUNDS
+rounds all tasks train a copy on their share of the documents, and the copies' means, weighted by words, go into the next.
+What a task sends back is a model, so it doesn't grow with the documents.
+
+*Spelling.* Rare words are spelt from the end, each byte after the two after it, by smoothed counts over all rare words of the
+corpus. What is spelt is known to be in the class and no leaf, so the probabilities of a class's words, of all there can be, add
+up to one.
+
+*Memory.* A network of bounded size can't hold a corpus, so all sentences are counted. In one that occurs elsewhere, word for
+word, each word is copied from there with a chance of a half (two thirds if there are two other places), else predicted.
+The sentence's own occurrence is not counted. Counts of words and of sentences grow with the corpus; they stay in shuffles.
 """
 
 from __future__ import annotations
@@ -16,137 +25,387 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from haulgrid.llm.scratch import Scratch, in_arrow
-from haulgrid.llm.textbytes import LOWER, chunks, signed, word_hashes, words
-
-#: Class 0 is the border of a text, then FREQUENT words, then endings.
-CLASSES, FREQUENT = 128, 79
-HIDDEN, STEPS, RATE = 24, 120, 0.05
-#: Words whose shares are broadcast, some 100 MB in each JVM; those of a larger vocabulary are joined by a shuffle.
-BROADCAST_WORDS = 1_000_000
+from haulgrid.llm.textbytes import LOWER, U64, chunks, mix, signed, word_hashes, words
+
+CLASSES, LEAVES, HIDDEN = 64, 64, 32
+#: Words seen on each side; the id of what lies beyond a text's borders.
+WINDOW, BORDER = 2, 64 * 64
+#: Passes of a model through the tasks, each over other documents; words of a step; step size.
+ROUNDS, BATCH, RATE = 3, 8192, 0.1
+#: Words of a sentence that are remembered together; a longer one is cut, a shorter one than LEAST is not remembered.
+LEAST, MOST = 4, 32
+#: What the coarser distribution weighs in a spelling's.
+SMOOTH = 4.0
 
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+_STOP = np.zeros(256, bool)
+_STOP[[10, 13, 33, 46, 58, 59, 63]] = True
+#: Symbols of spellings: lower-case letters, digits and other bytes from 1 on; 0 is a word's border.
+_SYMBOL = np.zeros(256, np.int32)
+_SYMBOL[np.flatnonzero(_LETTER[LOWER] & (LOWER == np.arange(256)))] = np.arange(1, 165)
+SYMBOLS = 165
+_OFFSETS = [k for k in range(-WINDOW, WINDOW + 1) if k]
+
+
+class Words:
+    """The words of some texts: hash, ending (last two symbols), offsets of each text's words, sentence numbers, cells of spelling."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        low = LOWER[data]
+        is_word = _LETTER[data]
+        self.starts, self.ends, self.at = words(is_word, offsets)
+        self.hashes = word_hashes(low, self.starts, self.ends)
+        symbol = np.where(is_word, _SYMBOL[low], 0)
+        self.symbol = np.concatenate([symbol, [0, 0]])
+        self.after = self.symbol[1:-1].copy()  # the byte after each, in its word
+        borders = offsets[(offsets > 0) & (offsets < len(data))]
+        self.after[borders - 1] = 0
+        last, before = symbol[self.ends - 1], symbol[np.maximum(self.ends - 2, 0)]
+        self.ending = last * SYMBOLS + np.where(self.ends - self.starts > 1, before, 0)
+        self._data = data
+
+    def sentences(self) -> np.ndarray:
+        """The number of each word's sentence, or of its part of MOST words."""
+        n = len(self.starts)
+        stops = np.concatenate([[0], np.cumsum(_STOP[self._data])])
+        first = np.ones(n, bool)
+        first[1:] = stops[self.starts[1:]] > stops[self.ends[:-1]]
+        first[self.at[:-1][self.at[:-1] < n]] = True
+        begins = np.flatnonzero(first)
+        place = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
+        return np.cumsum(place % MOST == 0) - 1
+
+    def spellings(self) -> tuple[np.ndarray, np.ndarray]:
+        """(second after, after, byte) of each byte as one number, and of each word's border before its first byte."""
+        n = len(self.after)
+        second = np.where(self.after > 0, np.concatenate([self.after[1:], [0]]), 0) if n else self.after
+        cells = (second * SYMBOLS + self.after) * SYMBOLS + self.symbol[:n]
+        long = self.ends - self.starts > 1
+        fronts = (np.where(long, self.symbol[np.minimum(self.starts + 1, n)], 0) * SYMBOLS + self.symbol[self.starts]) * SYMBOLS
+        return cells, fronts
+
+
+def class_of(ending: np.ndarray) -> np.ndarray:
+    return (mix(ending.astype(np.uint64) + U64(1)) % U64(CLASSES)).astype(np.int64)
+
+
+def _listed(items: list[bytes]) -> Words:
+    data = np.frombuffer(b" ".join(items), np.uint8)
+    return Words(data, np.array([0, len(data)]))
+
+
+class Vocabulary:
+    """Hashes of the words that are leaves, in order, and the id (class * LEAVES + leaf) of each."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.ids = hashes[order], ids[order]
+
+    def of(self, found: Words) -> np.ndarray:
+        out = class_of(found.ending) * LEAVES
+        if len(self.hashes) and len(out):
+            hashes = signed(found.hashes)
+            spot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            out = np.where(self.hashes[spot] == hashes, self.ids[spot], out)
+        return out
+
+
+def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ids before and after each word (2 * WINDOW rows); BORDER beyond a text."""
+    n = len(ids)
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    out = np.full((len(_OFFSETS), n), BORDER, np.int64)
+    for row, k in zip(out, _OFFSETS, strict=True):
+        to = np.arange(max(0, -k), n - max(0, k))
+        same = text[to] == text[to + k]
+        row[to[same]] = ids[to[same] + k]
+    return out
 
 
-def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and ending of each word, and the offsets of each text's words."""
-    starts, ends, at = words(_LETTER[data], offsets)
-    low = LOWER[data]
-    last = low[ends - 1].astype(np.int64) * 31 + low[np.maximum(ends - 2, starts)].astype(np.int64)
-    return signed(word_hashes(low, starts, ends)), last, at
+# The network
 
 
-def _classes(hashes: np.ndarray, last: np.ndarray, frequent: np.ndarray, order: np.ndarray) -> np.ndarray:
-    out = 1 + FREQUENT + last % (CLASSES - FREQUENT - 1)
-    if len(frequent):
-        spot = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        known = frequent[spot] == hashes
-        out[known] = 1 + order[spot[known]]
+def fresh(share: np.ndarray, seed: int = 1) -> list[np.ndarray]:
+    """Parameters (embeddings, weights by place, class and leaf layers) that start from each id's share of all words."""
+    rng = np.random.default_rng(seed)
+    share = share.reshape(CLASSES, LEAVES)
+    of = share.sum(axis=1)
+    with np.errstate(divide="ignore"):
+        leaves = np.where(share > 0, np.log(share / np.maximum(of, 1e-300)[:, None]), -30.0)
+        classes = np.where(of > 0, np.log(of), -30.0)
+    shapes = ((BORDER + 1, HIDDEN), (len(_OFFSETS), HIDDEN), (HIDDEN, CLASSES), (CLASSES, HIDDEN, LEAVES))
+    net = [rng.normal(0, s, x) for x, s in zip(shapes, (0.2, 0.0, 0.1, 0.1), strict=True)]
+    net[1] += 1.0
+    return [x.astype(np.float32) for x in (*net, classes, leaves)]
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """The logarithms of the softmax, in place."""
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
+def _hidden(net: list[np.ndarray], window: np.ndarray) -> np.ndarray:
+    total = net[0][window[0]] * net[1][0]
+    for k in range(1, len(window)):
+        total += net[0][window[k]] * net[1][k]
+    return np.tanh(total, out=total)
+
+
+def _leaf_layer(net: list[np.ndarray], h: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """log p(leaf | class, window) of all leaves of each word's class, and (class, first, end) of the words of each, in order."""
+    edges = np.searchsorted(kinds, np.arange(CLASSES + 1))
+    spans = [(int(c), int(edges[c]), int(edges[c + 1])) for c in np.flatnonzero(np.diff(edges))]
+    z = np.empty((len(h), LEAVES), np.float32)
+    for c, a, b in spans:
+        np.matmul(h[a:b], net[3][c], out=z[a:b])
+    z += net[5][kinds]
+    return _softmax(z), spans
+
+
+def predict(net: list[np.ndarray], window: np.ndarray, ids: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """log p(id | window) of each word."""
+    out = np.empty(len(ids), np.float32)
+    for lo in range(0, len(ids), step):
+        own = ids[lo : lo + step].astype(np.int16)
+        order = np.argsort(own, kind="stable")
+        own = own[order].astype(np.int64)
+        h, at = _hidden(net, window[:, lo : lo + step][:, order]), np.arange(len(own))
+        kinds = own // LEAVES
+        out[lo + order] = _softmax(h @ net[2] + net[4])[at, kinds] + _leaf_layer(net, h, kinds)[0][at, own % LEAVES]
     return out
 
 
-def _cells(classes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(before * CLASSES + word) * CLASSES + after for each word."""
-    before = np.concatenate([[0], classes[:-1]])
-    after = np.concatenate([classes[1:], [0]])
-    some = at[:-1] < at[1:]
-    before[at[:-1][some]] = 0
-    after[at[1:][some] - 1] = 0
-    return (before * CLASSES + classes) * CLASSES + after
+def fit(net: list[np.ndarray], past: list[np.ndarray], window: np.ndarray, ids: np.ndarray, rate: float = RATE) -> None:
+    """One step of Adagrad on these words, in place; ``past`` has the sums of squared gradients."""
+    n, at = len(ids), np.arange(len(ids))
+    order = np.argsort(ids.astype(np.int16), kind="stable")
+    ids, window = ids[order], window[:, order]
+    kinds = ids // LEAVES
+    h = _hidden(net, window)
+    d = np.exp(_softmax(h @ net[2] + net[4]))
+    d[at, kinds] -= 1
+    d /= n
+    e, spans = _leaf_layer(net, h, kinds)
+    np.exp(e, out=e)
+    e[at, ids % LEAVES] -= 1
+    e /= n
+    back = d @ net[2].T
+    leaf = np.zeros_like(net[3])
+    for c, a, b in spans:
+        np.matmul(h[a:b].T, e[a:b], out=leaf[c])
+        back[a:b] += e[a:b] @ net[3][c].T
+    border = np.zeros_like(net[5])
+    border[[c for c, _, _ in spans]] = np.add.reduceat(e, [a for _, a, _ in spans], axis=0)
+    back *= 1 - h * h
 
+    def move(k: int, rows, gradient: np.ndarray) -> None:
+        past[k][rows] += gradient * gradient
+        net[k][rows] -= rate * gradient / (np.sqrt(past[k][rows]) + 1e-6)
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (hash), its ending, and count over all documents."""
+    everything = slice(None)
+    for k, gradient in ((2, h.T @ d), (3, leaf), (4, d.sum(axis=0)), (5, border)):
+        move(k, everything, gradient)
+    gates = net[1].copy()
+    for k, row in enumerate(window):
+        by = np.argsort(row.astype(np.int16), kind="stable")
+        begins = np.flatnonzero(np.diff(row[by], prepend=-1))
+        sums, rows = np.add.reduceat(back[by], begins, axis=0), row[by][begins]
+        move(1, k, (sums * net[0][rows]).sum(axis=0))
+        move(0, rows, sums * gates[k])
 
-    def run(batches):
-        for batch in batches:
-            parts = [_tokens(data, offsets)[:2] for _, _, data, offsets in chunks(batch.column(0))]
-            hashes, last = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
-            found, at, counts = np.unique(hashes, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(last[at], pa.int32()), pa.array(counts, pa.int64())], ["word", "last", "n"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).transform(in_arrow, run, "word long, last int, n long")
-    return found.groupBy("word").agg(F.max("last").alias("last"), F.sum("n").alias("n"))
+def _flat(net: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([x.ravel() for x in net])
+
 
+def _shaped(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    cuts = np.cumsum([x.size for x in like])[:-1]
+    return [x.reshape(y.shape).astype(np.float32) for x, y in zip(np.split(flat, cuts), like, strict=True)]
 
-def _vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent words' hashes in order, and each one's rank."""
-    counts = word_counts(docs) if counts is None else counts
-    top = np.array([r.word for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()], np.int64)
-    order = np.argsort(top)
-    return top[order], order
 
+# What is gathered from the documents
 
-def within_classes(counts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """word and log(count(word) / count(class)) of every word that shares a class; a frequent word is its class."""
-    known = counts.sparkSession.createDataFrame([(int(w),) for w in frequent], "word long")
-    others = counts.join(F.broadcast(known), "word", "left_anti").withColumn("ending", F.col("last") % (CLASSES - FREQUENT - 1))
-    classes = others.groupBy("ending").agg(F.sum("n").alias("all"))
-    return others.join(F.broadcast(classes), "ending").select("word", F.log(F.col("n") / F.col("all")).alias("log_share"))
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("text").cast("string").alias("text"))
 
-def neighbour_counts(docs: DataFrame, frequent: np.ndarray, order: np.ndarray) -> DataFrame:
-    """cell (before, word, after) and count over all documents."""
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (hash), its class, and count over all documents."""
 
     def run(batches):
-        total = np.zeros(CLASSES**3, np.int64)
         for batch in batches:
-            parts = []
-            for _, _, data, offsets in chunks(batch.column(0)):
-                hashes, last, at = _tokens(data, offsets)
-                if len(hashes):
-                    parts.append(_cells(_classes(hashes, last, frequent, order), at))
-            if parts:
-                total += np.bincount(np.concatenate(parts), minlength=CLASSES**3)
-        found = np.flatnonzero(total)
-        for lo in range(0, len(found), 1 << 18):
-            some = found[lo : lo + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["cell", "n"])
-
-    return docs.select(F.col("text").cast("string").alias("text")).transform(in_arrow, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-def train(counts: np.ndarray, hidden: int = HIDDEN, steps: int = STEPS, rate: float = RATE, seed: int = 1) -> np.ndarray:
-    """log p(word | before, after) as an array of CLASSES cubed, indexed before, word, after.
-
-    tanh(left[before] + right[after]) and a softmax, fitted by Adam on all counts at once; only pairs of neighbours that
-    occur are visited. Without counts, all words are as likely.
-    """
-    v = counts.shape[0]
-    table = counts.transpose(0, 2, 1).reshape(v * v, v).astype(np.float32)
-    seen = np.flatnonzero(table.sum(axis=1))
-    rng = np.random.default_rng(seed)
-    p = [rng.normal(0, 0.1, (v, hidden)), rng.normal(0, 0.1, (v, hidden)), rng.normal(0, 0.1, (hidden, v)), np.zeros(v)]
-    p = [x.astype(np.float32) for x in p]
-    if len(seen):
-        weight = table[seen] / table.sum()
-        share = weight.sum(axis=1, keepdims=True)
-        before, after = seen // v, seen % v
-        p[3] = np.log(weight.sum(axis=0) + 1e-6).astype(np.float32)
-        m1, m2 = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-        for step in range(1, steps + 1):
-            h = np.tanh(p[0][before] + p[1][after])
-            z = h @ p[2] + p[3]
-            z -= z.max(axis=1, keepdims=True)
-            np.exp(z, out=z)
-            z *= share / z.sum(axis=1, keepdims=True)
-            z -= weight
-            back = (z @ p[2].T) * (1 - h * h)
-            g = [np.zeros_like(p[0]), np.zeros_like(p[1]), h.T @ z, z.sum(axis=0)]
-            np.add.at(g[0], before, back)
-            np.add.at(g[1], after, back)
-            for k in range(4):
-                m1[k] += 0.1 * (g[k] - m1[k])
-                m2[k] += 0.01 * (g[k] * g[k] - m2[k])
-                p[k] -= rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
-    out = np.empty((v, v, v), np.float32)
-    for b in range(v):
-        z = np.tanh(p[0][b] + p[1]) @ p[2] + p[3]
-        z -= z.max(axis=1, keepdims=True)
-        out[b] = (z - np.log(np.exp(z).sum(axis=1, keepdims=True))).T
-    return out
+            parts = [Words(data, offsets) for _, _, data, offsets in chunks(batch.column(0))]
+            hashes = np.concatenate([signed(x.hashes) for x in parts]) if parts else np.zeros(0, np.int64)
+            kinds = np.concatenate([class_of(x.ending) for x in parts]) if parts else np.zeros(0, np.int64)
+            found, at, counts = np.unique(hashes, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(kinds[at], pa.int32()), pa.array(counts, pa.int64())], ["word", "class", "n"])
+
+    found = _texts(docs).transform(in_arrow, run, "word long, class int, n long")
+    return found.groupBy("word").agg(F.max("class").alias("class"), F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """The words that are leaves, and each id's share of all words. The driver gets LEAVES words of each class at most."""
+    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("n"), "word"))
+    top = counts.select("word", "class", "n", rank.alias("leaf")).where(F.col("leaf") < LEAVES).collect()
+    share = np.zeros(CLASSES * LEAVES)
+    for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect():
+        share[r["class"] * LEAVES] = r.n
+    for r in top:
+        share[r["class"] * LEAVES + r.leaf] = r.n
+        share[r["class"] * LEAVES] -= r.n
+    share[::LEAVES] += 1  # there may always be a rare word
+    ids = np.array([r["class"] * LEAVES + r.leaf for r in top], np.int64)
+    return Vocabulary(np.array([r.word for r in top], np.int64), ids), share / share.sum()
+
+
+def _spelt(found: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells, each once, and their counts in the words that are no leaf."""
+    cells, fronts = found.spellings()
+    rare = ids % LEAVES == 0
+    marks = np.zeros(len(cells) + 1, np.int64)
+    marks[found.starts[rare]] += 1
+    marks[found.ends[rare]] -= 1
+    return np.unique(np.concatenate([cells[np.cumsum(marks[:-1]) > 0], fronts[rare]]), return_counts=True)
+
+
+BLOCK = 1 << 15
+_PART = "block int, weight double, cells binary, data binary"
+
+
+def _parts(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64(), pa.binary(), pa.binary()), strict=True)], ["block", "weight", "cells", "data"])
+
+
+def trained(docs: DataFrame, words_of: Vocabulary, share: np.ndarray, rounds: int = ROUNDS) -> tuple[list[np.ndarray], np.ndarray, list[bytes]]:
+    """The network after one pass over all words, the counts of all cells of spelling, and the words of the vocabulary."""
+    context = docs.sparkSession.sparkContext
+    net = fresh(share)
+    past = [np.full(x.shape, 1e-7, np.float32) for x in net]
+    spelt, leaves = np.zeros(SYMBOLS**3, np.int64), set()
+    for number in range(rounds):
+        held = context.broadcast((words_of, net, past))
+
+        def run(batches, held=held, number=number):
+            known, net, past = held.value[0], *([x.copy() for x in held.value[k]] for k in (1, 2))
+            rng, total, spelt, leaves = np.random.default_rng(number), 0, np.zeros(SYMBOLS**3, np.int64), {}
+            for batch in batches:
+                for _, _, data, offsets in chunks(batch.column(0)):
+                    found = Words(data, offsets)
+                    ids = known.of(found)
+                    cells, counts = _spelt(found, ids)
+                    spelt[cells] += counts
+                    for leaf, at in zip(*np.unique(ids, return_index=True), strict=True):
+                        if leaf % LEAVES and leaf not in leaves:
+                            leaves[leaf] = LOWER[data[found.starts[at] : found.ends[at]]].tobytes()
+                    window, order = windows(ids, found.at), rng.permutation(len(ids))
+                    for lo in range(0, len(ids), BATCH):
+                        some = order[lo : lo + BATCH]
+                        fit(net, past, window[:, some], ids[some])
+                    total += len(ids)
+            if total:
+                flat = np.concatenate([_flat(net), np.sqrt(_flat(past))])
+                blocks = [flat[k : k + BLOCK].tobytes() for k in range(0, len(flat), BLOCK)]
+                cells = np.flatnonzero(spelt)
+                yield _parts([(-2, 0.0, b"", b" ".join(leaves.values())), (-1, 0.0, cells.tobytes(), spelt[cells].tobytes()), *((k, float(total), b"", x) for k, x in enumerate(blocks))])
+
+        def mean(batches):
+            """The weighted means of the blocks, the sums of the counts and the words that were met; one of each is held at a time."""
+            sums: dict[int, list] = {}
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["block"] == -2:
+                        sums.setdefault(-2, [0.0, set()])[1].update(row["data"].split())
+                    elif row["block"] == -1:
+                        total = sums.setdefault(-1, [0.0, np.zeros(SYMBOLS**3, np.int64)])
+                        total[1][np.frombuffer(row["cells"], np.int64)] += np.frombuffer(row["data"], np.int64)
+                    else:
+                        values = np.frombuffer(row["data"], np.float32)
+                        total = sums.setdefault(row["block"], [0.0, np.zeros(len(values))])
+                        total[0] += row["weight"]
+                        total[1] += row["weight"] * values
+            rows = []
+            for k, (w, x) in sums.items():
+                if k == -2:
+                    rows.append((k, w, b"", b" ".join(sorted(x))))
+                elif k == -1:
+                    rows.append((k, w, np.flatnonzero(x).tobytes(), x[x > 0].tobytes()))
+                else:
+                    rows.append((k, w, b"", (x / w).astype(np.float32).tobytes()))
+            yield _parts(rows)
+
+        share_of = docs.where(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(rounds)) == number)
+        parts = _texts(share_of).coalesce(2 * context.defaultParallelism).transform(in_arrow, run, _PART)
+        means = parts.repartition(16, "block").transform(in_arrow, mean, _PART).collect()
+        held.unpersist()
+        blocks = {r.block: r for r in means}
+        if -1 in blocks:
+            leaves.update(bytes(blocks.pop(-2).data).split())
+            spelt[np.frombuffer(blocks[-1].cells, np.int64)] += np.frombuffer(blocks.pop(-1).data, np.int64)
+            flat = np.concatenate([np.frombuffer(blocks[k].data, np.float32) for k in sorted(blocks)])
+            size = len(flat) // 2
+            net, past = _shaped(flat[:size], net), _shaped(flat[size:] ** 2, past)
+    return net, spelt, sorted(leaves)
+
+
+def spelling(counts: np.ndarray) -> np.ndarray:
+    """log p(byte | the two after it) for all cells, smoothed by p(byte | the one after it) and that by p(byte)."""
+    counts = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(np.float64)
+    p = (counts.sum(axis=(0, 1)) + 1) / (counts.sum() + SYMBOLS)
+    ones = counts.sum(axis=0)
+    p = (ones + SMOOTH * p) / (ones.sum(axis=1, keepdims=True) + SMOOTH)
+    p = (counts + SMOOTH * p[None, :, :]) / (counts.sum(axis=2, keepdims=True) + SMOOTH)
+    return np.log(p).ravel().astype(np.float32)
+
+
+def _spelling_logs(table: np.ndarray, found: Words) -> np.ndarray:
+    cells, fronts = found.spellings()
+    sums = np.concatenate([[0.0], np.cumsum(table[cells], dtype=np.float64)])
+    return sums[found.ends] - sums[found.starts] + table[fronts]
+
+
+def class_masses(table: np.ndarray, leaves: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The logarithm of what a class's spellings weigh, all there can be but those of its leaves (log weights, ids)."""
+    logs = table.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(np.float64)
+    last = logs[0, 0, 1:]  # a word's last byte, and the one before it or none
+    pairs = np.exp(last[:, None] + logs[0, 1:, :])
+    ending = np.arange(1, SYMBOLS)[:, None] * SYMBOLS + np.arange(SYMBOLS)[None, :]
+    mass = np.bincount(class_of(ending.ravel()), weights=pairs.ravel(), minlength=CLASSES)
+    taken = np.bincount(ids // LEAVES, weights=np.exp(leaves), minlength=CLASSES)
+    return np.log(np.maximum(mass - taken, 1e-9 * mass))
+
+
+class Model:
+    """All that it takes to score a text, of a size that doesn't grow with the documents."""
+
+    def __init__(self, known: Vocabulary, net: list[np.ndarray], spelt: np.ndarray, leaves: list[bytes]):
+        """``spelt``: counts of cells; ``leaves``: the words of the vocabulary."""
+        self.known, self.net, self.table = known, net, spelling(spelt)
+        found = _listed(leaves)
+        self.masses = class_masses(self.table, _spelling_logs(self.table, found), known.of(found))
+
+    def logs(self, found: Words) -> np.ndarray:
+        """log p of each word by the network and, if rare, its spelling."""
+        ids = self.known.of(found)
+        out = predict(self.net, windows(ids, found.at), ids).astype(np.float64)
+        rare = np.flatnonzero(ids % LEAVES == 0)
+        out[rare] += _spelling_logs(self.table, found)[rare] - self.masses[ids[rare] // LEAVES]
+        return out
+
+
+def learn(docs: DataFrame, scratch: Scratch) -> Model:
+    """A model of all words of all documents."""
+    known, share = vocabulary(scratch.table(word_counts(docs), "words"))
+    net, spelt, leaves = trained(docs, known, share)
+    return Model(known, net, spelt, leaves)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -156,28 +415,27 @@ def score(docs: DataFrame) -> DataFrame:
     a null doc_id stays null; an empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "lm")
-    vocabulary = scratch.table(word_counts(docs), "words")
-    frequent, order = _vocabulary(docs, vocabulary)
-    cells = scratch.table(neighbour_counts(docs, frequent, order), "cells").toArrow()
-    counts = np.zeros(CLASSES**3, np.float64)
-    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    model = docs.sparkSession.sparkContext.broadcast(train(counts.reshape(CLASSES, CLASSES, CLASSES)).ravel())
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, scratch))
 
     def part(rows, ids, data, offsets):
-        hashes, last, at = _tokens(data, offsets)
-        classes = _classes(hashes, last, frequent, order)
-        logs = model.value[_cells(classes, at)].astype(np.float64) if len(hashes) else np.zeros(0)
-        pll = np.array([logs[a:b].sum() for a, b in zip(at[:-1], at[1:], strict=True)])
-        # Each text's words that share a class, once with their number.
-        sharing = np.flatnonzero(classes > FREQUENT)
-        text, word = np.repeat(np.arange(len(at) - 1), np.diff(at))[sharing], hashes[sharing]
-        by = np.lexsort((word, text))
-        text, word = text[by], word[by]
-        first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (word[1:] != word[:-1])])) if len(text) else np.zeros(0, np.int64)
-        times = np.diff(np.append(first, len(text)))
-        ends = pa.array(np.searchsorted(text[first], np.arange(len(at))), pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((word[first], pa.int64()), (times, pa.int32()))]
-        return pa.RecordBatch.from_arrays([rows, ids, pa.array(np.diff(at), pa.int64()), pa.array(pll, pa.float64()), *lists], ["row", "doc_id", "n_tokens", "class_pll", "words", "times"])
+        found = Words(data, offsets)
+        logs = model.value.logs(found)
+        pll = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[found.at])
+        if not len(logs):
+            sentences = [np.zeros(0, np.int64), *[np.zeros(0, np.float32)] * 2]
+            ends = np.zeros(len(found.at), np.int64)
+        else:
+            number = found.sentences()
+            begins = np.flatnonzero(np.diff(number, prepend=-1))
+            place = np.arange(len(logs)) - begins[number]
+            keys = signed(mix(np.add.reduceat(mix(found.hashes + mix(place.astype(np.uint64))), begins)))
+            p = np.exp(logs)
+            gains = [np.add.reduceat(np.log(w + (1 - w) * p) - logs, begins).astype(np.float32) for w in (1 / 2, 2 / 3)]
+            long = np.diff(np.append(begins, len(logs))) >= LEAST
+            sentences = [keys[long], *(g[long] for g in gains)]
+            ends = np.searchsorted(begins[long], found.at)
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in sentences]
+        return pa.RecordBatch.from_arrays([rows, ids, pa.array(np.diff(found.at), pa.int64()), pa.array(pll, pa.float64()), *lists], ["row", "doc_id", "n_tokens", "pll", "sentences", "once", "twice"])
 
     def run(batches):
         for batch in batches:
@@ -185,12 +443,10 @@ def score(docs: DataFrame) -> DataFrame:
                 yield part(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), data, offsets)
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "row long, doc_id long, n_tokens long, class_pll double, words array<long>, times array<int>"
+    schema = "row long, doc_id long, n_tokens long, pll double, sentences array<long>, once array<float>, twice array<float>"
     parts = scratch.table(source.transform(in_arrow, run, schema), "parts", from_scan=True)
-    terms = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    shares = scratch.table(within_classes(vocabulary, frequent), "shares")
-    if shares.count() <= BROADCAST_WORDS:
-        shares = F.broadcast(shares)
-    own = terms.join(shares, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_share")).alias("own"))
-    pll = F.col("class_pll") + F.coalesce("own", F.lit(0.0))
-    return parts.join(own, "row", "left").select("doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("score"))
+    counts = parts.select(F.explode("sentences").alias("sentence")).groupBy("sentence").agg(F.count("*").alias("n")).where("n > 1")
+    each = parts.select("row", F.explode(F.arrays_zip("sentences", "once", "twice")).alias("s")).select("row", "s.*").withColumnRenamed("sentences", "sentence")
+    gains = each.join(counts, "sentence").groupBy("row").agg(F.sum(F.when(F.col("n") == 2, F.col("once")).otherwise(F.col("twice")).cast("double")).alias("gain"))
+    pll = F.col("pll") + F.coalesce("gain", F.lit(0.0))
+    return parts.join(gains, "row", "left").select("doc_id", "n_tokens", pll.alias("pll"), F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")).alias("score"))
