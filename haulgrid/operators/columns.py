@@ -55,6 +55,20 @@ def defaults(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return df.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in values.items()})
 
 
+def with_missing(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    """Columns that aren't there, as nulls."""
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in df.columns})
+
+
+def in_years(df: DataFrame, at: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """The rows of some years, by bounds of the timestamp itself, which scans can skip files and groups of rows by."""
+    if first is not None:
+        df = df.where(F.col(at) >= F.lit(f"{first:04d}-01-01 00:00:00").cast("timestamp_ntz"))
+    if last is not None:
+        df = df.where(F.col(at) < F.lit(f"{last + 1:04d}-01-01 00:00:00").cast("timestamp_ntz"))
+    return df
+
+
 def hour_of(year: Column, month: Column, day: Column, hour: Column) -> Column:
     """The hour as a timestamp without a zone, so no change of clocks can move it; null for impossible parts."""
     parts = [F.lpad(year.cast("string"), 4, "0"), *[F.lpad(x.cast("string"), 2, "0") for x in (month, day)]]

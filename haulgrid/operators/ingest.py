@@ -44,8 +44,13 @@ def ingest_all(lake: Lake, specs: Iterable[DatasetSpec]) -> list[dict]:
     return [ingest(lake, s) for s in specs]
 
 
-def conform(lake: Lake, spec: DatasetSpec, ints: tuple[str, ...] = (), dropped: tuple[str, ...] = (), values: dict | None = None) -> str:
-    """Bronze to silver: empty columns and listed ones go, texts are trimmed, codes are integers, nulls get defaults."""
+def conform(lake: Lake, spec: DatasetSpec, ints: tuple[str, ...] = (), dropped: tuple[str, ...] = (), values: dict | None = None, derived: dict | None = None) -> str:
+    """Bronze to silver: texts are trimmed, columns derived, empty and listed ones go, codes are integers, nulls get defaults.
+
+    ``derived``: functions of the DataFrame that give columns; they see the listed columns before these go.
+    """
     df = columns.drop_empty(lake.read("bronze", spec.name), keep={*spec.required, *spec.partition_by, *(values or {})})
-    df = columns.defaults(columns.to_int(columns.trim_text(columns.drop(df, dropped)), ints), values or {})
+    df = columns.trim_text(df)
+    df = df.withColumns({name: of(df) for name, of in (derived or {}).items()})
+    df = columns.defaults(columns.to_int(columns.drop(df, dropped), ints), values or {})
     return lake.replace(df, "silver", spec.name, spec.partition_by)

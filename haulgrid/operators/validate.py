@@ -103,6 +103,11 @@ def union_named(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def changed_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows that only one of the two has, counting repetitions, with the ``side`` (a or b) they are from."""
+    return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
+
+
 def differences(a: DataFrame, b: DataFrame) -> tuple[int, int]:
     """Rows of each that the other lacks, counting repetitions."""
     return a.exceptAll(b).count(), b.exceptAll(a).count()

@@ -56,6 +56,13 @@ def monthly_trend(trips: DataFrame, since: int) -> DataFrame:
     return months.withColumn("mom_change_pct", F.round(F.lit(100.0) * (F.col("taxi_demand") - before) / before, 2)).orderBy("year", "month")
 
 
+def trend_over_years(trips: DataFrame) -> DataFrame:
+    """The change against the month before, also over a year's end: months are few, so one task may rank them."""
+    months = trips.groupBy("year", "month").agg(F.count("*").alias("taxi_demand"))
+    before = F.lag("taxi_demand").over(Window.orderBy("year", "month"))
+    return months.withColumn("before", before)
+
+
 def zone_weather_stats(trips: DataFrame, conditions: int = 3) -> DataFrame:
     """How demand in a zone varies over weather conditions, for zones with several of them."""
     demand = trips.where("condition_code IS NOT NULL").groupBy(*PLACE, "condition_code").agg(F.count("*").alias("c"), rounded("trip_distance", 3).alias("d"))
@@ -116,6 +123,13 @@ def null_shares(df: DataFrame, *names: str) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in names])
 
 
+def profile(df: DataFrame) -> DataFrame:
+    """One row for each column: its name and type, the table's rows, nulls and their share in percent; in one pass."""
+    counts = df.agg(F.count("*").alias("#"), *[F.count(F.col(f"`{c}`")).alias(f"#{k}") for k, c in enumerate(df.columns)])
+    nulls = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("#").alias("n_rows"), (F.col("#") - F.col(f"#{k}")).alias("nulls")) for k, (c, t) in enumerate(df.dtypes)]
+    return counts.select(F.inline(F.array(*nulls))).withColumn("null_pct", F.round(F.try_divide(F.col("nulls") * 100.0, F.col("n_rows")), 1))
+
+
 def value_counts(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy(name).agg(F.count("*").alias("n"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulgrid.operators.columns import in_years
 from haulgrid.operators.integrate import hour, hourly_weather, integrate, lookup, with_zones
 from haulgrid.operators.validate import DatasetSpec, trip_rule
 from haulgrid.sources.readers import table
@@ -60,12 +61,16 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
     return integrate(event_trips(spark, d), event_weather(spark, d), event_air(spark, d), zones(spark, d), roles=("pickup",))
 
 
-def sales_trips(spark: SparkSession, d: str) -> DataFrame:
-    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    customers = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("pickup_location_id"))
-    suppliers = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dropoff_location_id"))
+def sales_trips(spark: SparkSession, d: str, roles: tuple[str, ...] = ("pickup", "dropoff"), first_year: int | None = None) -> DataFrame:
+    """Trips with the places of the roles that are asked for (others are null), from ``first_year`` on."""
+    lines, orders = table(spark, d, "lineitem"), in_years(table(spark, d, "orders"), "o_orderdate", first_year)
     trips = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    trips = trips.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    for role, name, key, of, nation in (("pickup", "customer", "c_custkey", "o_custkey", "c_nationkey"), ("dropoff", "supplier", "s_suppkey", "l_suppkey", "s_nationkey")):
+        if role in roles:
+            side = table(spark, d, name).select(key, F.col(nation).alias(f"{role}_location_id"))
+            trips = trips.join(side, F.col(of) == F.col(key), "left")
+        else:
+            trips = trips.withColumn(f"{role}_location_id", F.lit(None).cast("int"))
     return trips.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("o_orderdate").alias("pickup_datetime"), F.col("l_shipdate").alias("dropoff_datetime"),
         F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.col("l_quantity").alias("trip_distance"), F.col("l_extendedprice").alias("total_amount"),
@@ -73,5 +78,5 @@ def sales_trips(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def sales_gold(spark: SparkSession, d: str) -> DataFrame:
-    return with_zones(sales_trips(spark, d), zones(spark, d))
+def sales_gold(spark: SparkSession, d: str, roles: tuple[str, ...] = ("pickup", "dropoff"), first_year: int | None = None) -> DataFrame:
+    return with_zones(sales_trips(spark, d, roles, first_year), zones(spark, d), roles)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulgrid.functions.labels import AIR_QUALITY, TEMPERATURES, band, weather_label
-from haulgrid.plans.analytics import PLACE, exact_sum, rounded
+from haulgrid.plans.analytics import PLACE, exact_sum, rounded, zone_weather_stats
 from haulgrid.sources.lake import Lake
 
 VERSION = "1.0"
@@ -42,7 +42,7 @@ def air_quality_impact(trips: DataFrame) -> DataFrame:
     return known.agg(F.count("*").alias("total_trips"), rounded("pm25_hourly_avg", 2).alias("avg_pm25"), rounded("trip_distance", 3).alias("avg_distance"), rounded("total_amount", 2).alias("avg_fare"))
 
 
-PRODUCTS = {"daily_mobility": daily_mobility, "zone_statistics": zone_statistics, "weather_impact": weather_impact, "air_quality_impact": air_quality_impact}
+PRODUCTS = {"daily_mobility": daily_mobility, "zone_statistics": zone_statistics, "weather_impact": weather_impact, "air_quality_impact": air_quality_impact, "zone_weather_stats": zone_weather_stats}
 
 
 def daily_totals(mobility: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from haulgrid.functions.labels import AIR_QUALITY, PM25_BANDS, TEMPERATURES, WEATHER, band
 from haulgrid.operators import columns, integrate, validate
 from haulgrid.plans import analytics, bindings, products
-from haulgrid.sources.readers import by_path, table
+from haulgrid.sources.readers import by_path, named, span, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -99,7 +99,7 @@ def gold_row_preservation(spark, d):
 
 @query(f"WITH {_S} SELECT year, month, pickup_location_id, pickup_zone, count(*) AS taxi_demand FROM sales WHERE year > 1995 GROUP BY ALL")
 def monthly_demand(spark, d):
-    return analytics.monthly_demand(bindings.sales_gold(spark, d), 1995)
+    return analytics.monthly_demand(bindings.sales_gold(spark, d, ("pickup",), 1996), 1995)
 
 
 @query(f"WITH {_E} SELECT {_LABEL} AS weather_condition, count(*) AS trip_count, round(avg(trip_distance), 3) AS avg_trip_distance FROM gold WHERE trip_distance > 0 GROUP BY condition_code")
@@ -127,7 +127,7 @@ def peak_hours(spark, d):
 @query(f"""WITH {_S}, m AS (SELECT year, month, count(*) AS taxi_demand FROM s WHERE year >= 1996 GROUP BY ALL), l AS (SELECT *, lag(taxi_demand) OVER (PARTITION BY year ORDER BY month) AS p FROM m)
 SELECT year, month, taxi_demand, round(CAST(100.0 AS DOUBLE) * (taxi_demand - p) / p, 2) AS mom_change_pct FROM l""")
 def monthly_trend(spark, d):
-    return analytics.monthly_trend(bindings.sales_trips(spark, d), 1996)
+    return analytics.monthly_trend(bindings.sales_trips(spark, d, (), 1996), 1996)
 
 
 # Products
@@ -227,6 +227,60 @@ def union_by_name(spark, d):
     return validate.union_named(customers, table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("id")))
 
 
+_BROKEN = """k AS (SELECT *, CASE WHEN l_partkey % 13 <> 0 THEN l_orderkey END AS k, CASE WHEN l_suppkey % 7 <> 0 THEN pickup_datetime END AS p FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY k, l_linenumber, p IS NULL ORDER BY l_partkey, l_suppkey, dropoff_datetime, total_amount) AS rn FROM k)"""
+
+
+@query(f"""WITH {_S}, {_BROKEN} SELECT l_partkey, l_suppkey, l_linenumber, dropoff_datetime, total_amount, CASE WHEN k IS NULL THEN 'null_primary_key' WHEN p IS NULL THEN 'invalid_timestamp'
+WHEN rn > 1 THEN 'duplicate_primary_key' WHEN NOT coalesce(trip_distance > 0 AND fare_amount >= 0 AND passenger_count > 0 AND dropoff_datetime >= p, false) THEN 'dataset_rule_failure' END AS rejection_reason FROM r""")
+def validate_null_keys_and_times(spark, d):
+    broken = {"l_orderkey": F.when(F.col("l_partkey") % 13 != 0, F.col("l_orderkey")), "pickup_datetime": F.when(F.col("l_suppkey") % 7 != 0, F.col("pickup_datetime"))}
+    trips = bindings.sales_trips(spark, d).withColumns(broken)
+    return validate.tag(trips, bindings.SALES).select("l_partkey", "l_suppkey", "l_linenumber", "dropoff_datetime", "total_amount", validate.REASON)
+
+
+@query("SELECT event_id FROM events WHERE event_id % 5 <> 0")
+def validate_measured(spark, d):
+    return table(spark, d, "events").withColumn("sample_measurement", F.when(F.col("event_id") % 5 != 0, F.col("value"))).where(validate.measured_rule()).select("event_id")
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_nationkey % 6 <> 0 AND n_nationkey - 2 > 0")
+def validate_zones(spark, d):
+    id_ = F.when(F.col("n_nationkey") % 6 != 0, F.col("n_nationkey") - 2)
+    return table(spark, d, "nation").withColumn("location_id", id_).where(F.coalesce(validate.zone_rule(), F.lit(False))).select("n_nationkey")
+
+
+@query("""(SELECT c_nationkey AS k, 'a' AS side FROM customer EXCEPT ALL SELECT s_nationkey, 'a' FROM supplier) UNION ALL (SELECT s_nationkey, 'b' FROM supplier EXCEPT ALL SELECT c_nationkey, 'b' FROM customer)""")
+def changed_rows(spark, d):
+    return validate.changed_rows(table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT range AS id FROM range(5, 50, 3)")
+def range_source(spark, d):
+    return span(spark, 5, 50, 3)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def table_by_name(spark, d):
+    table(spark, d, "orders").createOrReplaceTempView("orders_by_name")
+    return named(spark, "orders_by_name").select("o_orderkey", "o_totalprice")
+
+
+@query(f"WITH {_E} SELECT {_BAND} AS pm25_range, count(*) AS taxi_demand FROM gold WHERE pm25_hourly_avg IS NOT NULL GROUP BY 1")
+def sql_over_view(spark, d):
+    """SQL over the integrated trips, grouped by an alias."""
+    bindings.gold(spark, d).createOrReplaceTempView("trips")
+    return spark.sql(f"SELECT {_BAND} AS pm25_range, count(*) AS taxi_demand FROM trips WHERE pm25_hourly_avg IS NOT NULL GROUP BY pm25_range")
+
+
+@query("""SELECT weather_hour, temp, condition_code FROM (SELECT date_trunc('hour', ts) AS weather_hour, CASE WHEN event_id % 3 <> 0 THEN value END AS temp, CAST(user_id % 18 AS INTEGER) AS condition_code,
+row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY CASE WHEN event_id % 3 <> 0 THEN value END NULLS LAST, user_id % 18) AS rn FROM events) WHERE rn = 1""")
+def coldest_reading(spark, d):
+    """Readings with and without a temperature: one that is known comes first."""
+    readings = table(spark, d, "events").select(integrate.hour(F.col("ts")).alias("weather_hour"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("temp"), (F.col("user_id") % 18).cast("int").alias("condition_code"))
+    return integrate.hourly_weather(readings)
+
+
 # Conforming
 
 
@@ -271,17 +325,17 @@ def assemble_timestamp(spark, d):
 
 @query(f"WITH {_S} SELECT borough, count(*) AS trip_count FROM s LEFT JOIN zones ON pickup_location_id = location_id GROUP BY 1")
 def trips_per_borough(spark, d):
-    return analytics.per_borough(bindings.sales_trips(spark, d), bindings.zones(spark, d), F.count("*").alias("trip_count"))
+    return analytics.per_borough(bindings.sales_trips(spark, d, ("pickup",)), bindings.zones(spark, d), F.count("*").alias("trip_count"))
 
 
 @query(f"WITH {_S} SELECT borough, round(avg(fare_amount), 2) AS avg_fare FROM s LEFT JOIN zones ON pickup_location_id = location_id GROUP BY 1")
 def avg_fare_per_borough(spark, d):
-    return analytics.per_borough(bindings.sales_trips(spark, d), bindings.zones(spark, d), analytics.rounded("fare_amount", 2).alias("avg_fare"))
+    return analytics.per_borough(bindings.sales_trips(spark, d, ("pickup",)), bindings.zones(spark, d), analytics.rounded("fare_amount", 2).alias("avg_fare"))
 
 
 @query(f"WITH {_S} SELECT CAST(pickup_datetime AS DATE) AS pickup_date, round(avg((epoch(dropoff_datetime) - epoch(pickup_datetime)) / 60), 2) AS avg_duration_min FROM s GROUP BY 1")
 def avg_duration_per_day(spark, d):
-    return analytics.duration_per_day(bindings.sales_trips(spark, d))
+    return analytics.duration_per_day(bindings.sales_trips(spark, d, ()))
 
 
 _ZONE_JOIN = f"WITH {_S} SELECT borough, zone, count(*) AS trips, round(avg(trip_distance), 2) AS avg_distance FROM s JOIN zones ON pickup_location_id = location_id GROUP BY ALL"
@@ -293,12 +347,13 @@ def _zone_join(trips: DataFrame, zones: DataFrame) -> DataFrame:
 
 @query(_ZONE_JOIN)
 def zone_join_no_hint(spark, d):
-    return _zone_join(bindings.sales_trips(spark, d), bindings.zones(spark, d))
+    """What is left without a hint and a threshold: both sides are sorted and merged."""
+    return _zone_join(bindings.sales_trips(spark, d, ("pickup",)), bindings.zones(spark, d).hint("merge"))
 
 
 @query(_ZONE_JOIN)
 def zone_join_broadcast(spark, d):
-    return _zone_join(bindings.sales_trips(spark, d), integrate.lookup(bindings.zones(spark, d)))
+    return _zone_join(bindings.sales_trips(spark, d, ("pickup",)), integrate.lookup(bindings.zones(spark, d)))
 
 
 @query(f"WITH {_E} SELECT condition_code, 'Condition_' || condition_code AS condition_name, round(avg(trip_distance), 3) AS avg_dist, count(*) AS trip_count FROM gold WHERE trip_distance > 0 GROUP BY 1, 2")
@@ -308,7 +363,7 @@ def condition_label_join(spark, d):
 
 @query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, count(*) AS n FROM orders WHERE year(o_orderdate) = 1998 GROUP BY 1, 2")
 def pruned_counts(spark, d):
-    return columns.partition_columns(table(spark, d, "orders"), "o_orderdate").where("year = 1998").groupBy("year", "month").agg(F.count("*").alias("n"))
+    return columns.partition_columns(columns.in_years(table(spark, d, "orders"), "o_orderdate", 1998, 1998), "o_orderdate").groupBy("year", "month").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem EXCEPT ALL SELECT o_orderkey, 1 FROM orders")
@@ -362,6 +417,17 @@ def null_profile(spark, d):
     return analytics.null_shares(bindings.gold(spark, d), "temp", "pickup_zone")
 
 
+@query("""SELECT 'o_orderkey' AS column, 'bigint' AS type, count(*) AS n_rows, 0 AS nulls, 0.0::DOUBLE AS null_pct FROM orders
+UNION ALL SELECT 'price', 'double', count(*), count(*) FILTER (o_orderkey % 7 = 0), round(100.0 * count(*) FILTER (o_orderkey % 7 = 0) / count(*), 1) FROM orders""")
+def column_profile(spark, d):
+    return analytics.profile(table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("price")))
+
+
+@query(f"WITH {_S}, m AS (SELECT year, month, count(*) AS taxi_demand FROM s GROUP BY ALL) SELECT *, lag(taxi_demand) OVER (ORDER BY year, month) AS before FROM m")
+def trend_over_years(spark, d):
+    return analytics.trend_over_years(bindings.sales_trips(spark, d, ()))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def value_counts(spark, d):
     return analytics.value_counts(table(spark, d, "events"), "event_type")

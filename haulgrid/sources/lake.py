@@ -35,18 +35,45 @@ class Lake:
         return reader.parquet(self.path(layer, name))
 
     def replace(self, df: DataFrame, layer: str, name: str, partition_by: tuple[str, ...] = ()) -> str:
-        """Writes beside the table and renames, so a table may be replaced by what is read from it; schema included."""
-        target = self.path(layer, name)
-        stage = f"{target}.stage-{uuid.uuid4().hex[:8]}"
+        """Writes beside the table and renames, so a table may be replaced by what is read from it; schema included.
+
+        The old table is moved aside before and goes after, so that there is a whole one at any time, under its name or
+        beside it; if the new one can't take its place, the old one comes back.
+        """
+        target, mark = self.path(layer, name), uuid.uuid4().hex[:8]
+        stage, old = f"{target}.stage-{mark}", f"{target}.old-{mark}"
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(stage)
         fs, to, path = self._fs(target)
-        fs.delete(to, True)
         fs.mkdirs(to.getParent())
+        before = bool(fs.exists(to))
+        if before and not fs.rename(to, path(old)):
+            raise OSError(f"{target} could not be moved aside")
         if not fs.rename(path(stage), to):
+            if before:
+                fs.rename(path(old), to)
             raise OSError(f"{stage} could not become {target}")
+        fs.delete(path(old), True)
         self.spark.catalog.refreshByPath(target)
         return target
 
+    def stored(self, df: DataFrame, layer: str, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        """``df`` as a table of its own, replaced and read again."""
+        self.replace(df, layer, name, partition_by)
+        return self.read(layer, name, df.schema)
+
+    def detail(self, layer: str, name: str) -> dict:
+        """What there is to say of a table: format, place, columns of partitions, files and bytes."""
+        size, files = self.size(layer, name)
+        fs, p, _ = self._fs(self.path(layer, name))
+        parts, at = [], p
+        while True:
+            inner = [x.getPath() for x in fs.listStatus(at) if x.isDirectory() and "=" in x.getPath().getName()]
+            if not inner:
+                break
+            parts.append(inner[0].getName().split("=")[0])
+            at = inner[0]
+        return {"name": name, "format": "parquet", "location": self.path(layer, name), "partition_columns": parts, "num_files": files, "size_in_bytes": size}
+
     def replace_partitions(self, df: DataFrame, layer: str, name: str, partition_by: tuple[str, ...]) -> str:
         """Replaces the partitions that ``df`` has rows of; all others stay."""
         target = self.path(layer, name)

@@ -22,6 +22,16 @@ def load(spark: SparkSession, path: str, form: str, schema: StructType | str | N
     return reader.format(form).load(path)
 
 
+def named(spark: SparkSession, name: str) -> DataFrame:
+    """A table or view by its name."""
+    return spark.table(name)
+
+
+def span(spark: SparkSession, start: int, end: int, step: int = 1, partitions: int | None = None) -> DataFrame:
+    """Numbers from ``start`` to before ``end``, as column id."""
+    return spark.range(start, end, step, partitions)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return load(spark, f"{folder}/{name}.parquet", "parquet")
 

@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
 
     home = tmp_path_factory.mktemp("spark")
     session = build_session(
-        "tests", "local[6]", spark_sql_shuffle_partitions="6", spark_ui_enabled="false", spark_ui_showConsoleProgress="false", spark_driver_memory="6g",
+        "tests", f"local[{os.environ.get('TEST_CPUS', '6')}]", spark_sql_shuffle_partitions="6", spark_ui_enabled="false", spark_ui_showConsoleProgress="false", spark_driver_memory="6g",
         spark_checkpoint_dir=f"file://{home}/shared", spark_sql_warehouse_dir=f"{home}/warehouse",
     )
     session.sparkContext.setLogLevel("ERROR")
