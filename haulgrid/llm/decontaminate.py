@@ -2,8 +2,11 @@
 
 Words of items and documents become templates: numbers, units after a number and names become typed placeholders, all
 else is lower-cased. Windows of templates are hashed and joined; for each occurrence of an item in a document the
-placeholders' values must be consistent (one value of the item always stands for one value of the document). An item
-that occurs with other numbers or names is thus found as well, and told apart.
+placeholders' values must be consistent (one value of the item always stands for one value of the document, and the other
+way round). An item that occurs with other numbers or names is thus found as well, and told apart.
+
+A title-case word that opens a sentence may be a name or not, so windows with one have two templates: with the word itself,
+and with a name in its place. An occurrence is judged by the first kind alone and by both together; either is enough.
 
 Documents are read in one pass that hands on only windows that a bitmap of the benchmark's windows lets through; the
 join decides. The bitmap has a size bound; for a larger benchmark all windows go to the join.
@@ -59,8 +62,8 @@ def _hash_words(items: list[str]) -> np.ndarray:
 _UNIT_HASHES = _hash_words(UNITS)
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Templates of all words (literal hash or placeholder), their values, and the offsets of each text's words."""
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Templates of all words (literal hash or placeholder), the same with sentence openers as names, their values, and the offsets of each text's words."""
     is_word = _LETTER[data]
     if len(data) > 2:  # a point or comma between digits belongs to the number
         inner = np.zeros(len(data), bool)
@@ -73,7 +76,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     values = word_hashes(low, starts, ends)
     templates = values.copy()
     if not len(starts):
-        return templates, values, at
+        return templates, templates, values, at
     first = np.zeros(len(starts), bool)
     first[at[:-1][at[:-1] < len(starts)]] = True
     number = _DIGIT[data[starts]]
@@ -86,8 +89,11 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     title = _UPPER[data[starts]] & (ends - starts > 1) & _SMALL[data[np.minimum(starts + 1, len(data) - 1)]]
     templates[number] = _NUM
     templates[unit] = _UNIT
-    templates[title & ~opens & ~number & ~unit] = _NAME
-    return templates, values, at
+    title &= ~number & ~unit
+    named = templates.copy()
+    templates[title & ~opens] = _NAME
+    named[title] = _NAME
+    return templates, named, values, at
 
 
 _WEIGHT = mix(np.arange(1, 65, dtype=np.uint64)) | U64(1)
@@ -100,25 +106,23 @@ def _windows(templates: np.ndarray, begins: np.ndarray, width: int) -> np.ndarra
     return signed(mix(out))
 
 
-WINDOWS = "id long, hash long, at int, width int, of int, of_typed int, typed boolean, slots array<long>"
+WINDOWS = "id long, hash long, at int, width int, of int, of_typed int, typed boolean, opener boolean, slots array<long>"
 
 
 def template_windows(df: DataFrame, key: str, width: int = WIDTH, bitmaps: dict[int, bytes] | None = None, item: bool = False) -> DataFrame:
     """Windows of each text: hash, place, width, the text's numbers of windows and of typed ones, whether it is one, and slots.
 
     A slot is a placeholder's value, else 0. A window with too few literals is not typed: it stands for its own values.
+    ``opener``: the window's template with names for sentence openers, which is entered beside the first where it differs.
 
-    An item shorter than ``width`` is one window of its own width (so documents are also read at each such width), and
-    its first word is entered as a name too, as it may stand inside a sentence elsewhere.
+    An item shorter than ``width`` is one window of its own width (so documents are also read at each such width).
     """
     widths = sorted(bitmaps) if bitmaps else [width]
 
     def part(ids, data, offsets):
-        templates, values, at = canonical(data, offsets)
-        slots = np.where(templates == values, U64(0), values)
-        literal = np.concatenate([[0], np.cumsum(templates == values)])
+        templates, named, values, at = canonical(data, offsets)
+        forms = [(x, np.where(x == values, U64(0), values), np.concatenate([[0], np.cumsum(x == values)])) for x in (templates, named)]
         counts = np.diff(at)
-        rows = []
         for w in widths:
             own = np.maximum(counts - w + 1, 0)
             if item:
@@ -129,26 +133,28 @@ def template_windows(df: DataFrame, key: str, width: int = WIDTH, bitmaps: dict[
             text = np.repeat(np.arange(len(counts)), own)
             place = np.arange(total) - np.repeat(np.cumsum(own) - own, own)
             begins = at[:-1][text] + place
-            enough = literal[begins + w] - literal[begins] >= min(LITERALS, w)
-            of_typed = np.bincount(text[enough], minlength=len(counts))
-            hashes = _windows(templates, begins, w)
-            few = np.flatnonzero(~enough)
-            hashes[few] = _windows(values, begins[few], w)
-            if bitmaps:
-                bits = np.frombuffer(bitmaps[w], np.uint8)
-                spot = hashes.view(np.uint64) & U64(len(bits) * 8 - 1)
-                there = (bits[(spot >> U64(3)).astype(np.int64)] >> (spot & U64(7)).astype(np.uint8)) & 1 > 0
-                text, place, begins, hashes, enough = text[there], place[there], begins[there], hashes[there], enough[there]
-            rows.append((text, hashes, place, w, own[text], of_typed[text], enough, begins))
-            if item:
-                named = templates.copy()
-                named[at[:-1][counts > 0]] = _NAME
-                head = (place == 0) & enough
-                rows.append((text[head], _windows(named, begins[head], w), place[head], w, own[text[head]], of_typed[text[head]], enough[head], begins[head]))
-        for text, hashes, place, w, of, of_typed, typed, begins in rows:
-            if len(text):
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1) * w, pa.int32()), pa.array(signed(np.where(typed[:, None], slots[begins[:, None] + np.arange(w)], U64(0)).ravel()), pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), pa.array(hashes), pa.array(place, pa.int32()), pa.array(np.full(len(text), w), pa.int32()), pa.array(of, pa.int32()), pa.array(of_typed, pa.int32()), pa.array(typed), lists], ["id", "hash", "at", "width", "of", "of_typed", "typed", "slots"])
+            literals = [of[begins + w] - of[begins] for _, _, of in forms]
+            least = min(LITERALS, w)
+            typed = literals[0] >= least
+            of_typed = np.bincount(text[typed], minlength=len(counts))
+            for opener, (form, slots, _) in enumerate(forms):
+                rows = np.flatnonzero((literals[1] >= least) & (literals[1] < literals[0])) if opener else np.arange(total)
+                hashes = _windows(form, begins[rows], w)
+                if not opener:
+                    few = np.flatnonzero(~typed)
+                    hashes[few] = _windows(values, begins[few], w)
+                if bitmaps:
+                    bits = np.frombuffer(bitmaps[w], np.uint8)
+                    spot = hashes.view(np.uint64) & U64(len(bits) * 8 - 1)
+                    there = (bits[(spot >> U64(3)).astype(np.int64)] >> (spot & U64(7)).astype(np.uint8)) & 1 > 0
+                    rows, hashes = rows[there], hashes[there]
+                n, of = len(rows), text[rows]
+                if not n:
+                    continue
+                held = np.where(typed[rows][:, None], slots[begins[rows][:, None] + np.arange(w)], U64(0)).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * w, pa.int32()), pa.array(signed(held), pa.int64()))
+                columns = [hashes, place[rows].astype(np.int32), np.full(n, w, np.int32), own[of].astype(np.int32), of_typed[of].astype(np.int32), typed[rows], np.full(n, bool(opener))]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), *map(pa.array, columns), lists], ["id", "hash", "at", "width", "of", "of_typed", "typed", "opener", "slots"])
 
     def run(batches):
         for batch in batches:
@@ -173,7 +179,7 @@ def item_widths(benchmark: DataFrame, width: int) -> list[int]:
     def run(batches):
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.minimum(np.diff(canonical(data, offsets)[2]), width)), pa.int32())], ["w"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.minimum(np.diff(canonical(data, offsets)[3]), width)), pa.int32())], ["w"])
 
     found = benchmark.select(F.col("text").cast("string").alias("text")).transform(in_arrow, run, "w int").distinct().collect()
     return sorted({width} | {r.w for r in found if r.w >= LITERALS})
@@ -200,10 +206,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: f
         counts = {width: 0}
     bitmaps = {w: _bitmap(items.where(F.col("width") == w), n) if n <= BITMAP_WINDOWS else b"\xff" * 8192 for w, n in counts.items()}
     found = template_windows(docs, "doc_id", width, bitmaps).where("id is not null")
-    pairs = found.select(F.col("id").alias("doc_id"), "hash", F.col("at").alias("doc_at"), "width", F.col("slots").alias("doc_slots")).join(
-        items.select(F.col("id").alias("item_id"), "hash", "at", "width", "of", "of_typed", "typed", F.col("slots").alias("item_slots")), ["hash", "width"]
+    pairs = found.select(F.col("id").alias("doc_id"), "hash", F.col("at").alias("doc_at"), "width", F.col("opener").alias("doc_opener"), F.col("slots").alias("doc_slots")).join(
+        items.select(F.col("id").alias("item_id"), "hash", "at", "width", "of", "of_typed", "typed", "opener", F.col("slots").alias("item_slots")), ["hash", "width"]
     )
-    pairs = scratch.table(pairs.select("doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("start"), "at", "width", "of", "of_typed", "typed", "doc_slots", "item_slots").distinct(), "pairs")
+    opener = (F.col("opener") | F.col("doc_opener")).alias("opener")
+    pairs = scratch.table(pairs.select("doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("start"), "at", "width", "of", "of_typed", "typed", opener, "doc_slots", "item_slots").distinct(), "pairs")
     # Windows are looked at by distance, by distances near each other, and by unbroken runs.
     places = pairs.select("doc_id", "item_id", "start", "at").distinct()
     both = Window.partitionBy("doc_id", "item_id").orderBy("start")
@@ -212,19 +219,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: f
     line = Window.partitionBy("doc_id", "item_id", "start").orderBy("at")
     places = places.withColumn("island", F.col("at") - F.row_number().over(line)).join(near, ["doc_id", "item_id", "start"])
     kinds = ((0, F.col("start"), F.lit(0)), (1, F.col("cluster"), F.lit(0)), (2, F.col("start"), F.col("island")))
-    kinds = [F.struct(F.lit(k).alias("kind"), x.cast("long").alias("x"), y.cast("long").alias("y")) for k, x, y in kinds]
-    pairs = pairs.join(places, ["doc_id", "item_id", "start", "at"]).withColumn("run", F.explode(F.array(*kinds)))
+    runs = [[F.struct(F.lit(k).alias("kind"), F.lit(openers).alias("openers"), x.cast("long").alias("x"), y.cast("long").alias("y")) for k, x, y in kinds] for openers in (0, 1)]
+    pairs = pairs.join(places, ["doc_id", "item_id", "start", "at"]).withColumn("run", F.explode(F.when(F.col("opener"), F.array(*runs[1])).otherwise(F.array(*runs[0], *runs[1]))))
     run = ["doc_id", "item_id", "cluster", "run"]
     spans = pairs.groupBy(*run).agg(F.min("start").alias("start"), F.countDistinct("at").alias("n"), F.count_distinct(F.when(F.col("typed"), F.col("at"))).alias("n_typed"), F.max("of").alias("of"), F.max("of_typed").alias("of_typed"), F.max("width").alias("width"))
-    # Each slot of the item with the value it has in the document: one value only, all through an occurrence.
+    # Each slot of the item with the value it has in the document: all through an occurrence, one stands for one.
     slots = pairs.select(*run, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select(*run, F.col("s.item_slots").alias("theirs"), F.col("s.doc_slots").alias("ours"))
-    slots = slots.where("theirs <> 0 and ours <> 0").groupBy(*run, "theirs").agg(F.countDistinct("ours").alias("values"), F.max((F.col("theirs") != F.col("ours")).cast("int")).alias("changed"))
-    slots = slots.groupBy(*run).agg(F.max("values").alias("values"), F.max("changed").alias("changed"))
+    slots = slots.where("theirs <> 0 and ours <> 0").distinct().groupBy(*run).agg(F.count("*").alias("both"), F.countDistinct("theirs").alias("a"), F.countDistinct("ours").alias("b"), F.max((F.col("theirs") != F.col("ours")).cast("int")).alias("changed"))
     typed = F.when(F.col("of_typed") * 2 >= F.col("of"), F.col("n_typed") / F.col("of_typed")).otherwise(0.0)
-    found = spans.join(slots, run, "left").where(F.coalesce("values", F.lit(1)) == 1).withColumn("coverage", F.greatest(F.col("n") / F.col("of"), typed))
+    found = spans.join(slots, run, "left").where(F.col("both").isNull() | ((F.col("both") == F.col("a")) & (F.col("both") == F.col("b")))).withColumn("coverage", F.greatest(F.col("n") / F.col("of"), typed))
     whole = (F.col("run.kind") < 2) & (F.col("coverage") >= coverage)
     unbroken = (F.col("run.kind") == 2) & (F.col("n") + F.col("width") - 1 >= RUN)
-    found = found.where(whole | unbroken).withColumn("first", F.min("run.kind").over(Window.partitionBy("doc_id", "item_id", "cluster"))).where(F.col("run.kind") == F.col("first"))
+    rank = F.col("run.kind") * 2 + F.col("run.openers")
+    found = found.where(whole | unbroken).withColumn("first", F.min(rank).over(Window.partitionBy("doc_id", "item_id", "cluster"))).where(rank == F.col("first"))
     return found.select("doc_id", "item_id", "start", "coverage", (F.coalesce("changed", F.lit(0)) == 1).alias("changed"))
 
 

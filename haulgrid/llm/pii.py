@@ -2,15 +2,19 @@
 
 The base patterns find emails, addresses of machines, cards and phones. Their values are the protected entities. A
 term that stands near an entity, over and over in different surroundings, and hardly anywhere else, discloses it
-although no pattern matches: log2 p(entity | term) / p(entity), from counts over all documents, is the information
-the term gives away. Terms over the thresholds are removed or, if less certain, generalised.
+although no pattern matches. All probabilities are shares of documents:
+
+    p(entity | term) = documents with both / documents with the term,  p(entity) = documents with the entity / all
+    disclosure in bits = log2 p(entity | term) / p(entity)
+
+Terms over the thresholds of share and bits are removed or, if less certain, generalised.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +28,10 @@ CONTEXT, AROUND = 5, 2
 #: Different surroundings in which a term must meet an entity; share of its documents that hold the entity, from which
 #: it is generalised or removed; bits it must give away.
 SUPPORT, GENERALISE, REMOVE, BITS = 3, 0.8, 0.95, 3.0
-#: Terms looked for in one pass over the documents; more take more passes.
+#: Terms, or pairs of them with entities, that every task gets whole, some 20 MB; more are joined by a shuffle.
 TERMS = 200_000
+#: Different words that a task counts before it hands them on; terms of an entity that are looked for at once.
+HELD, LIST = 300_000, 4096
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -85,16 +91,26 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def _contexts(text: str) -> set[tuple[str, str, int]]:
-    """(entity, term, surroundings) of the words near each entity."""
-    out = set()
-    for start, end, kind in base_spans(text):
-        before = [m.group().lower() for m in _WORD.finditer(text[max(0, start - 200) : start])]
-        after = [m.group().lower() for m in _WORD.finditer(text[end : end + 200])]
-        line = before[-CONTEXT - AROUND :] + [""] + after[: CONTEXT + AROUND]
+def _words(text: str) -> set[str]:
+    return {w.lower() for w in set(_WORD.findall(text))}
+
+
+def _contexts(text: str, spans: list[Span]) -> set[tuple[str, str, int]]:
+    """(entity, term, surroundings) of the words near each entity that are in no entity themselves."""
+    found, end, k = [], 0, 0
+    for m in _WORD.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            end, k = max(end, spans[k][1]), k + 1
+        if m.start() >= end:
+            found.append(m)
+    starts, ends = [m.start() for m in found], [m.end() for m in found]
+    out, reach = set(), CONTEXT + AROUND
+    for start, end, kind in spans:
+        before, after = bisect_right(ends, start), bisect_left(starts, end)
+        line = [m.group().lower() for m in found[max(0, before - reach) : before]] + [""] + [m.group().lower() for m in found[after : after + reach]]
         middle = line.index("")
         for k, term in enumerate(line):
-            if term and 0 < abs(k - middle) <= CONTEXT:
+            if term and abs(k - middle) <= CONTEXT:
                 around = "\0".join(line[max(0, k - AROUND) : k] + ["\1"] + line[k + 1 : k + 1 + AROUND])
                 out.add((f"{kind}:{text[start:end]}", term, int.from_bytes(hashlib.blake2b(around.encode(), digest_size=8).digest(), "little", signed=True)))
     return out
@@ -104,66 +120,79 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def contexts(docs: DataFrame) -> DataFrame:
-    """entity, term, around: once for each document."""
+def entity_documents(docs: DataFrame) -> DataFrame:
+    """entities, words (each once) and near (entity, term, around) of each document that has an entity."""
+    schema = "entities array<string>, words array<string>, near array<struct<entity:string,term:string,around:long>>"
+    kind = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("around", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            rows = [r for text in batch.column(1) if text.is_valid and _DIGITS.search(t := text.as_py()) or text.is_valid and "@" in text.as_py() for r in _contexts(text.as_py())]
-            columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["entity", "term", "around"])
+            rows: list[list] = [[], [], []]
+            for text in batch.column(1):
+                t = text.as_py() or ""
+                if "@" not in t and not _DIGITS.search(t):
+                    continue
+                spans = base_spans(t)
+                if spans:
+                    near = [dict(zip(("entity", "term", "around"), x, strict=True)) for x in sorted(_contexts(t, spans))]
+                    for column, value in zip(rows, (sorted({f"{k}:{t[a:b]}" for a, b, k in spans}), sorted(_words(t)), near), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.list_(pa.string())), pa.array(rows[1], pa.list_(pa.string())), pa.array(rows[2], kind)], ["entities", "words", "near"])
 
-    return _source(docs).transform(in_arrow, run, "entity string, term string, around long")
+    return _source(docs).transform(in_arrow, run, schema)
 
 
-def _counted(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """term, documents: of all documents, how many hold each of the terms."""
-    wanted = frozenset(terms)
+def document_counts(docs: DataFrame, terms: DataFrame, most: int = TERMS) -> DataFrame:
+    """term, documents: of all documents, how many hold each term (one row each). One pass, whatever their number."""
+    wanted = frozenset(r.term for r in terms.collect()) if terms.count() <= most else None
 
     def run(batches):
+        counts: dict[str, int] = {}
+
+        def counted():
+            rows = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["term", "documents"])
+            counts.clear()
+            return rows
+
         for batch in batches:
-            counts: dict[str, int] = {}
             for text in batch.column(1):
-                for term in wanted.intersection(_WORD.findall((text.as_py() or "").lower())):
+                found = _words(text.as_py() or "")
+                for term in found if wanted is None else wanted.intersection(found):
                     counts[term] = counts.get(term, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["term", "documents"])
-
-    return _source(docs).transform(in_arrow, run, "term string, documents long").groupBy("term").agg(F.sum("documents").alias("documents"))
-
+                if len(counts) > HELD:
+                    yield counted()
+        yield counted()
 
-def _lots(df: DataFrame, most: int) -> Iterator[list]:
-    """The rows in lots of at most ``most``, read one lot at a time."""
-    lot: list = []
-    for row in df.toLocalIterator():
-        lot.append(tuple(row))
-        if len(lot) == most:
-            yield lot
-            lot = []
-    if lot:
-        yield lot
+    found = _source(docs).transform(in_arrow, run, "term string, documents long").groupBy("term").agg(F.sum("documents").alias("documents"))
+    return found if wanted is not None else found.join(terms, "term", "left_semi")
 
 
-def revealing_terms(docs: DataFrame) -> DataFrame:
-    """term, entity, share (p(entity | term)), bits and action (generalise or remove) of the terms over the thresholds."""
+def disclosures(docs: DataFrame, most: int = TERMS) -> DataFrame:
+    """term, entity, share (p(entity | term)) and bits of all pairs that meet in SUPPORT different surroundings."""
     scratch = Scratch(docs.sparkSession, "pii")
-    near = scratch.table(contexts(docs), "contexts", from_scan=True)
-    pairs = near.groupBy("entity", "term", "around").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("kinds")).where(F.col("kinds") >= SUPPORT)
-    pairs = scratch.table(pairs, "pairs")
-    schema = "term string, entity string, share double, bits double, action string"
-    if pairs.isEmpty():
-        return docs.sparkSession.createDataFrame([], schema)
-    total = docs.count()
-    counts = None
-    for k, lot in enumerate(_lots(pairs.select("term").distinct(), TERMS)):
-        some = scratch.table(_counted(docs, [t for (t,) in lot]), f"counts-{k}")
-        counts = some if counts is None else counts.unionByName(some)
-    entities = near.select("entity", "around").distinct().groupBy("entity").agg(F.count("*").alias("seen"))
-    found = pairs.join(counts, "term").join(entities, "entity")
-    share = F.least(F.col("both") / F.col("documents"), F.lit(1.0))
-    bits = F.log2(share / F.least(F.col("both") / F.lit(float(total)), F.lit(1.0)))
-    found = found.select("term", "entity", share.alias("share"), bits.alias("bits")).where((F.col("share") >= GENERALISE) & (F.col("bits") >= BITS))
-    return scratch.table(found.withColumn("action", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")), "terms")
+    found = scratch.table(entity_documents(docs), "entities", from_scan=True)
+    near = found.select(F.explode("near").alias("n")).select("n.*").groupBy("entity", "term", "around").agg(F.count("*"))
+    pairs = scratch.table(near.groupBy("entity", "term").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= SUPPORT).select("entity", "term"), "pairs")
+    count = pairs.count()
+    if not count:
+        return docs.sparkSession.createDataFrame([], "term string, entity string, share double, bits double")
+    bounded = F.broadcast if count <= most else lambda df: df
+    # Documents with both, of those that have an entity; an entity's terms are looked for some at a time.
+    lots = pairs.groupBy("entity").agg(F.ceil(F.count("*") / LIST).alias("lots"))
+    lists = pairs.join(lots, "entity").groupBy("entity", F.pmod(F.xxhash64("term"), F.col("lots")).alias("lot")).agg(F.collect_list("term").alias("terms"))
+    each = found.select(F.explode("entities").alias("entity"), "words").join(bounded(lists), "entity")
+    both = each.select("entity", F.explode(F.array_intersect("words", "terms")).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both"))
+    counts = scratch.table(document_counts(docs, scratch.table(pairs.select("term").distinct(), "terms"), most), "counts")
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("holding")).join(bounded(pairs.select("entity").distinct()), "entity", "left_semi")
+    rows = scratch.table(both, "both").join(bounded(counts), "term").join(bounded(entities), "entity")
+    share = F.col("both") / F.col("documents")
+    return rows.select("term", "entity", share.alias("share"), F.log2(share / (F.col("holding") / F.lit(float(docs.count())))).alias("bits"))
+
+
+def revealing_terms(docs: DataFrame, most: int = TERMS) -> DataFrame:
+    """term, entity, share, bits and action (generalise or remove) of the terms over the thresholds."""
+    found = disclosures(docs, most).where((F.col("share") >= GENERALISE) & (F.col("bits") >= BITS))
+    return Scratch(docs.sparkSession, "pii").table(found.withColumn("action", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")), "revealing")
 
 
 def all_spans(text: str, terms: dict[str, str]) -> tuple[list[Span], list[Span]]:
@@ -187,35 +216,30 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def _with_terms(docs: DataFrame, terms: DataFrame, most: int) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with one more column (revealing term to action), the last, and the terms that hold for all rows beside it.
+    """``docs`` with one more column, the last (its revealing terms and their actions), and the terms that hold for all rows.
 
-    One lot of terms needs no pass of its own; of more, each marks the rows that hold its terms.
+    Up to ``most`` terms go to every task. More are joined with the words of the texts, in one pass, and come back by text.
     """
     found = terms.groupBy("term").agg(F.max("action").alias("action"))
     name = "_terms"
     while name in docs.columns:
         name += "_"
-    docs = docs.withColumn(name, F.lit(None).cast("map<string,string>"))
     if found.count() <= most:
-        return docs, {t: a for t, a in found.collect()}
-    schema, at, text_at = docs.schema, len(docs.columns) - 1, docs.columns.index("text")
-    for lot in _lots(found, most):
-        docs = docs.transform(in_arrow, _marker(dict(lot), at, text_at), schema)
-    return docs, {}
+        return docs.withColumn(name, F.lit(None).cast("map<string,string>")), {t: a for t, a in found.collect()}
 
-
-def _marker(wanted: dict[str, str], at: int, text_at: int):
     def run(batches):
         for batch in batches:
-            rows = []
-            for text, before in zip(batch.column(text_at), batch.column(at), strict=True):
-                words = {w: wanted[w] for w in wanted.keys() & set(_WORD.findall((text.as_py() or "").lower()))}
-                rows.append([*dict(before.as_py() or []).items(), *words.items()])
-            columns = list(batch.columns)
-            columns[at] = pa.array(rows, pa.map_(pa.string(), pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            rows = [(a.as_py(), b.as_py(), w) for a, b, text in zip(*batch.columns, strict=True) for w in _words(text.as_py())]
+            for lo in range(0, len(rows), 1 << 16):
+                columns = zip(*rows[lo : lo + (1 << 16)], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["k1", "k2", "term"])
 
-    return run
+    text = F.col("text").cast("string")
+    keys = (F.xxhash64(text), F.xxhash64(text, F.lit(1)))
+    words = docs.where("text is not null").select(keys[0].alias("k1"), keys[1].alias("k2"), text.alias("text")).transform(in_arrow, run, "k1 long, k2 long, term string")
+    maps = words.join(found, "term").groupBy("k1", "k2").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias(name))
+    maps = Scratch(docs.sparkSession, "pii").table(maps, "maps")
+    return docs.join(maps, (keys[0] == maps["k1"]) & (keys[1] == maps["k2"]), "left").select(*[docs[f"`{c}`"] for c in docs.columns], maps[name]), {}
 
 
 def find(docs: DataFrame, most: int = TERMS) -> DataFrame:
@@ -225,7 +249,7 @@ def find(docs: DataFrame, most: int = TERMS) -> DataFrame:
     gives no rows; other columns are ignored.
     """
     source = _source(docs)
-    marked, common = _with_terms(source, revealing_terms(docs), most)
+    marked, common = _with_terms(source, revealing_terms(docs, most), most)
 
     def run(batches):
         for batch in batches:
@@ -242,8 +266,11 @@ def find(docs: DataFrame, most: int = TERMS) -> DataFrame:
 
 
 def sanitise(docs: DataFrame, most: int = TERMS) -> DataFrame:
-    """``docs`` with its text sanitised; all other columns, and a null text, as they are."""
-    marked, common = _with_terms(docs, revealing_terms(docs), most)
+    """``docs`` with its text sanitised; all other columns, and a null text, as they are; an empty table stays empty.
+
+    Repeated rows, and rows without a doc_id, are each returned.
+    """
+    marked, common = _with_terms(docs, revealing_terms(docs, most), most)
     at, terms_at = docs.columns.index("text"), len(docs.columns)
 
     def run(batches):

@@ -1,13 +1,15 @@
 """Balanced label propagation: documents to shards, with DataFrame operations only.
 
-Linked documents (equal texts) start with labels dealt at random. In each round a group of linked documents tallies
-its members' labels and proposes to move to the label that most of them have, among the shards that still have
-room; proposals are admitted in a random order up to each shard's quota. Groups that were refused look again in
-the next round. Documents without links, and the members of groups that never found room, then fill what is left,
-members of a group side by side. Row counts of shards differ by one at most.
-
-A group larger than a quarter of a shard is split first, so that a group with a third of all rows spreads over whole
-shards. Ranks come from counts of small buckets and a rank inside a bucket, so no task sees a whole shard.
+Linked documents (equal texts) start with labels dealt at random. All members of a group are each other's neighbours, so
+the tally of a group's labels is what each of them sees of its neighbours. In each round a group proposes to move to the
+label that most of its members have, among the shards that still have room; proposals are admitted, the larger groups'
+first, up to each shard's quota. Groups that were refused look again in the next round. Documents without links, and the
+members of groups that never found room, then fill what is left, members of a group side by side. Row counts of shards
+differ by one at most.
+
+A group larger than a shard, of which there can't be more than shards, fills whole shards first; what is left of it, less
+than a shard, moves as one. So a group is on as many shards as it needs. Ranks come from counts of small buckets and a
+rank inside a bucket, so no task sees a whole shard.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ SHARDS = 24
 ROUNDS = 4
 #: Rows of a bucket that one task ranks, about.
 BUCKET_ROWS = 20_000
+#: More than the buckets of groups of one magnitude, whose numbers come one after the other.
+BUCKETS = 1 << 40
 _KEY = ["g", "size", "text_crc32"]
 
 
@@ -41,6 +45,26 @@ def _ranked(df: DataFrame, lane: str, weight: Column, order: list[str], out: str
     return df.withColumn("_within", within).join(sums, [lane, "bucket"]).withColumn(out, F.col("_before") + F.col("_within")).drop("_before", "_within")
 
 
+def _filled(rows: DataFrame, groups: DataFrame, giants: list, room: list[int]) -> DataFrame:
+    """``rows`` with the shard that a row of these groups fills (whole); ``room`` loses the filled shards.
+
+    A row beyond a group's last whole shard has none, and is of the group's second part.
+    """
+    known, filled = [], F.lit(None).cast("int")
+    for k, g in enumerate(giants):
+        known.append((*(g[c] for c in _KEY), k))
+        upto = 0
+        for t in range(len(room)):
+            if 0 < room[t] <= g.members - upto:
+                filled = F.when((F.col("giant") == k) & F.col("upto").between(upto + 1, upto + room[t]), t).otherwise(filled)
+                upto, room[t] = upto + room[t], 0
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.select(*_KEY).schema)
+    found = rows.join(F.broadcast(rows.sparkSession.createDataFrame(known, f"{schema}, giant int")), _KEY, "left")
+    of = found.where("giant is not null").withColumn("bucket", F.pmod(F.xxhash64("r", F.lit(13)), F.lit(max(1, sum(g.members for g in giants) // BUCKET_ROWS))))
+    ranked = _ranked(of, "giant", F.lit(1), ["r", "doc_id"], "upto").withColumn("whole", filled).withColumn("part", F.when(F.col("whole").isNull(), 1))
+    return found.where("giant is null").select(*rows.columns).unionByName(ranked.select(*rows.columns))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under the law ``rows``) of every row.
 
@@ -58,23 +82,22 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     base = scratch.table(base, "rows")
     n = base.count()
     quota = [n // shards + (t < n % shards) for t in range(shards)]
-    chunk = max(1, quota[0] // 4)
 
-    # Groups of linked documents, the large ones in parts; the tally of first labels is all that rounds work on.
-    groups = base.groupBy(*_KEY).count().where("count > 1").select(*_KEY, F.ceil(F.col("count") / chunk).alias("parts"), F.ceil(F.col("count") / BUCKET_ROWS).alias("fine"))
+    # Groups of linked documents; those larger than a shard get whole shards.
+    groups = base.groupBy(*_KEY).count().where("count > 1").select(*_KEY, F.col("count").alias("members"), F.ceil(F.col("count") / BUCKET_ROWS).alias("fine"))
     groups = scratch.table(groups, "groups", rows=n)  # so that the join below can split a hot group's rows
-    rows = base.join(small(groups), _KEY, "left").select(
-        "doc_id", *_KEY, "r",
-        F.when(F.col("parts").isNotNull(), F.pmod("r", "parts")).alias("part"),
-        F.pmod(F.xxhash64("r", F.lit(5)), F.coalesce("fine", F.lit(1))).alias("fine"),
-        F.pmod(F.xxhash64("r", F.lit(11)), F.lit(shards)).cast("int").alias("label"),
-    )
-    rows = scratch.table(rows, "linked", rows=n)
+    rows = base.join(small(groups), _KEY, "left").withColumn("label", F.pmod(F.xxhash64("r", F.lit(11)), F.lit(shards)).cast("int"))
+    rows = rows.select("doc_id", *_KEY, "r", "label", F.when(F.col("members") > 1, 0).alias("part"), F.pmod(F.xxhash64("r", F.lit(5)), F.coalesce("fine", F.lit(1))).alias("fine"))
+    rows = scratch.table(rows.withColumn("whole", F.lit(None).cast("int")), "linked", rows=n)
+    giants = groups.where(F.col("members") > quota[0]).orderBy(F.desc("members"), *_KEY).collect()
+    room = list(quota)
+    if giants:
+        rows = scratch.table(_filled(rows, groups, giants, room), "whole", rows=n)
     key = [*_KEY, "part"]
-    tally = scratch.table(rows.where("part is not null").groupBy(*key, "label").agg(F.count("*").alias("votes")), "tally", rows=n)
+    tally = scratch.table(rows.where("part is not null and whole is null").groupBy(*key, "label").agg(F.count("*").alias("votes")), "tally", rows=n)
     count = tally.select(*key).distinct().count()
 
-    room, settled = list(quota), None
+    settled = None
     left = tally
     for k in range(rounds if count else 0):
         open_shards = [t for t in range(shards) if room[t] > 0]
@@ -83,7 +106,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         any_open = _pick(open_shards, F.pmod(F.xxhash64(*key, F.lit(k)), F.lit(len(open_shards))))
         votes = F.when(_pick(room, F.col("label")) > 0, F.col("votes")).otherwise(F.lit(0))
         wish = left.groupBy(*key).agg(F.sum("votes").alias("members"), F.max(F.struct(votes.alias("v"), F.xxhash64("label", *key).alias("x"), "label")).alias("best"))
-        wish = wish.select(*key, "members", F.when(F.col("best.v") > 0, F.col("best.label").cast("long")).otherwise(any_open).cast("int").alias("target")).withColumn("bucket", _bucket(count, *key))
+        wish = wish.select(*key, "members", F.when(F.col("best.v") > 0, F.col("best.label").cast("long")).otherwise(any_open).cast("int").alias("target")).withColumn("bucket", F.floor(F.log2("members")) * -BUCKETS + _bucket(count, *key))
         ranked = _ranked(wish, "target", F.col("members"), key, "upto")
         got = scratch.table(ranked.where(F.col("upto") <= _pick(room, F.col("target"))).select(*key, "target", "members"), f"moved-{k}", rows=count)
         moved = {t: m for t, m in got.groupBy("target").agg(F.sum("members")).collect()}
@@ -93,11 +116,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         if left.isEmpty():
             break
 
-    lane = F.lit(shards)
+    lane = F.coalesce("whole", F.lit(shards))
     placed = rows
     if settled is not None:
         placed = rows.join(settled.select(*key, "target"), key, "left")
-        lane = F.coalesce("target", F.lit(shards))
+        lane = F.coalesce("whole", "target", F.lit(shards))
     placed = placed.select("doc_id", *_KEY, "r", lane.cast("int").alias("lane"), F.pmod(F.xxhash64(*_KEY, "part", "fine", F.lit(7)), F.lit(max(1, n // BUCKET_ROWS))).alias("bucket"))
     placed = scratch.table(placed, "placed", rows=n)
     ranked = _ranked(placed, "lane", F.lit(1), [*_KEY, "r", "doc_id"], "upto").withColumn("at", (F.col("upto") - 1).cast("long"))
