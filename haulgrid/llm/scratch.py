@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Most rows of one or two integers that may be broadcast: 4 million are about 64 MB.
-BROADCAST_ROWS = 4_000_000
+#: Most bytes that may be broadcast, and what a row of one or two integers takes.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 16
+#: Rows of a file of a table whose rows are few integers.
+FILE_ROWS = 50_000
 
 #: Bytes of an Arrow batch between JVM and Python; a longer row is a batch by itself.
 BATCH_BYTES = 4 << 20
@@ -31,9 +34,11 @@ def in_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFram
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), one of its own."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset and all runs in one process (tests), one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="haulgrid-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -65,15 +70,17 @@ class Scratch:
 
 
 def few(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` in four partitions for each core at most, and in one for each 50,000 of ``rows``, narrow ones."""
-    most = 4 * df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(most if rows is None else min(most, 1 + rows // 50_000))
+    """``df`` in one partition for each FILE_ROWS of ``rows``, narrow ones; where these aren't known, as many as shuffles have."""
+    if rows is not None:
+        return df.coalesce(1 + rows // FILE_ROWS)
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most BROADCAST_ROWS rows (counted here), else as it is."""
+def small(df: DataFrame, rows: int | None = None, width: float = ROW_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows (counted here), of ``width`` bytes each, are within BROADCAST_BYTES."""
     rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -136,7 +136,9 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
     smoothed = (F.col("bad") + PRIOR * F.lit(prior)) / (F.col("labelled") + PRIOR)
     found = purities(leaves, depth, scratch).select("host", "t", F.when(smoothed >= REJECT, "block").otherwise("allow").alias("by_template"))
     of = leaves.join(found, ["host", "t"]).select("host", "s", F.concat_ws("/", "t").alias("template"), "by_template")
-    judged = rows.join(small(scratch.table(of, "verdicts", rows=leaves.count())), ["host", "s"], "left").withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    of = scratch.table(of, "verdicts", rows=leaves.count())
+    size = of.agg(F.count("*"), F.sum(64 + F.octet_length("host") + F.octet_length("template") + F.octet_length(F.concat_ws("/", "s")))).first()
+    judged = rows.join(small(of, size[0], (size[1] or 0) / max(1, size[0])), ["host", "s"], "left").withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("_rule")["action"], "by_template", F.lit("allow"))
     return judged.select("page_id", "host", "path", F.col("_rule")["rule"].alias("rule"), verdict.alias("verdict"), "template")
 
