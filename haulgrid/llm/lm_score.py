@@ -415,7 +415,11 @@ def score(docs: DataFrame) -> DataFrame:
     a null doc_id stays null; an empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "lm")
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, scratch))
+    return _scored(docs, learn(docs, scratch), scratch)
+
+
+def _scored(docs: DataFrame, learned: Model, scratch: Scratch) -> DataFrame:
+    model = docs.sparkSession.sparkContext.broadcast(learned)
 
     def part(rows, ids, data, offsets):
         found = Words(data, offsets)
