@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from haulgrid.llm.scratch import Scratch, in_arrow
 from haulgrid.llm.textbytes import LOWER, U64, chunks, mix, signed, word_hashes, words
 
-CLASSES, LEAVES, HIDDEN = 64, 64, 32
+CLASSES, LEAVES, HIDDEN = 64, 64, 24
 #: Words seen on each side; the id of what lies beyond a text's borders.
 WINDOW, BORDER = 2, 64 * 64
 #: Passes of a model through the tasks, each over other documents; words of a step; step size.
@@ -143,10 +143,19 @@ def fresh(share: np.ndarray, seed: int = 1) -> list[np.ndarray]:
     return [x.astype(np.float32) for x in (*net, classes, leaves)]
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """The logarithms of the softmax, in place."""
+def _log_share(z: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax of one column (``of``) of each row."""
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    own = z[at, of]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+def _slope(z: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The gradient of the mean loss, where ``of`` has each row's true column, in place."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z *= 1 / (len(z) * z.sum(axis=1, keepdims=True))
+    z[at, of] -= np.float32(1 / len(z))
     return z
 
 
@@ -158,14 +167,14 @@ def _hidden(net: list[np.ndarray], window: np.ndarray) -> np.ndarray:
 
 
 def _leaf_layer(net: list[np.ndarray], h: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """log p(leaf | class, window) of all leaves of each word's class, and (class, first, end) of the words of each, in order."""
+    """What the softmax over the leaves of each word's class is of, and (class, first, end) of the words of each, in order."""
     edges = np.searchsorted(kinds, np.arange(CLASSES + 1))
     spans = [(int(c), int(edges[c]), int(edges[c + 1])) for c in np.flatnonzero(np.diff(edges))]
     z = np.empty((len(h), LEAVES), np.float32)
     for c, a, b in spans:
         np.matmul(h[a:b], net[3][c], out=z[a:b])
     z += net[5][kinds]
-    return _softmax(z), spans
+    return z, spans
 
 
 def predict(net: list[np.ndarray], window: np.ndarray, ids: np.ndarray, step: int = 1 << 14) -> np.ndarray:
@@ -177,24 +186,20 @@ def predict(net: list[np.ndarray], window: np.ndarray, ids: np.ndarray, step: in
         own = own[order].astype(np.int64)
         h, at = _hidden(net, window[:, lo : lo + step][:, order]), np.arange(len(own))
         kinds = own // LEAVES
-        out[lo + order] = _softmax(h @ net[2] + net[4])[at, kinds] + _leaf_layer(net, h, kinds)[0][at, own % LEAVES]
+        out[lo + order] = _log_share(h @ net[2] + net[4], at, kinds) + _log_share(_leaf_layer(net, h, kinds)[0], at, own % LEAVES)
     return out
 
 
 def fit(net: list[np.ndarray], past: list[np.ndarray], window: np.ndarray, ids: np.ndarray, rate: float = RATE) -> None:
     """One step of Adagrad on these words, in place; ``past`` has the sums of squared gradients."""
-    n, at = len(ids), np.arange(len(ids))
+    at = np.arange(len(ids))
     order = np.argsort(ids.astype(np.int16), kind="stable")
     ids, window = ids[order], window[:, order]
     kinds = ids // LEAVES
     h = _hidden(net, window)
-    d = np.exp(_softmax(h @ net[2] + net[4]))
-    d[at, kinds] -= 1
-    d /= n
+    d = _slope(h @ net[2] + net[4], at, kinds)
     e, spans = _leaf_layer(net, h, kinds)
-    np.exp(e, out=e)
-    e[at, ids % LEAVES] -= 1
-    e /= n
+    _slope(e, at, ids % LEAVES)
     back = d @ net[2].T
     leaf = np.zeros_like(net[3])
     for c, a, b in spans:
