@@ -2,7 +2,7 @@
 
 Linked documents (equal texts) start with labels dealt at random. All members of a group are each other's neighbours, so
 the tally of a group's labels is what each of them sees of its neighbours. In each round a group proposes to move to the
-label that most of its members have, among the shards that still have room; proposals are admitted, the larger groups'
+label that most of its members have, among the shards that still have room for it; proposals are admitted, the larger groups'
 first, up to each shard's quota. Groups that were refused look again in the next round. Documents without links, and the
 members of groups that never found room, then fill what is left, members of a group side by side. Row counts of shards
 differ by one at most.
@@ -94,7 +94,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     if giants:
         rows = scratch.table(_filled(rows, groups, giants, room), "whole", rows=n)
     key = [*_KEY, "part"]
-    tally = scratch.table(rows.where("part is not null and whole is null").groupBy(*key, "label").agg(F.count("*").alias("votes")), "tally", rows=n)
+    tally = rows.where("part is not null and whole is null").groupBy(*key, "label").agg(F.count("*").alias("votes"))
+    tally = scratch.table(tally.withColumn("members", F.sum("votes").over(Window.partitionBy(*key))), "tally", rows=n)
     count = tally.select(*key).distinct().count()
 
     settled = None
@@ -103,10 +104,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         open_shards = [t for t in range(shards) if room[t] > 0]
         if not open_shards:
             break
-        any_open = _pick(open_shards, F.pmod(F.xxhash64(*key, F.lit(k)), F.lit(len(open_shards))))
-        votes = F.when(_pick(room, F.col("label")) > 0, F.col("votes")).otherwise(F.lit(0))
-        wish = left.groupBy(*key).agg(F.sum("votes").alias("members"), F.max(F.struct(votes.alias("v"), F.xxhash64("label", *key).alias("x"), "label")).alias("best"))
-        wish = wish.select(*key, "members", F.when(F.col("best.v") > 0, F.col("best.label").cast("long")).otherwise(any_open).cast("int").alias("target")).withColumn("bucket", F.floor(F.log2("members")) * -BUCKETS + _bucket(count, *key))
+        fits = F.filter(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(room[t]).alias("room")) for t in open_shards]), lambda x: x["room"] >= F.col("members"))
+        any_open = F.when(F.size(fits) > 0, F.element_at(fits, (F.pmod(F.xxhash64(*key, F.lit(k)), F.size(fits)) + 1).cast("int"))["t"])
+        votes = F.when(_pick(room, F.col("label")) >= F.col("members"), F.col("votes")).otherwise(F.lit(0))
+        wish = left.groupBy(*key, "members").agg(F.max(F.struct(votes.alias("v"), F.xxhash64("label", *key).alias("x"), "label")).alias("best"))
+        wish = wish.select(*key, "members", F.when(F.col("best.v") > 0, F.col("best.label")).otherwise(any_open).alias("target")).where("target is not null").withColumn("bucket", F.floor(F.log2("members")) * -BUCKETS + _bucket(count, *key))
         ranked = _ranked(wish, "target", F.col("members"), key, "upto")
         got = scratch.table(ranked.where(F.col("upto") <= _pick(room, F.col("target"))).select(*key, "target", "members"), f"moved-{k}", rows=count)
         moved = {t: m for t, m in got.groupBy("target").agg(F.sum("members")).collect()}
