@@ -341,19 +341,19 @@ def avg_duration_per_day(spark, d):
 _ZONE_JOIN = f"WITH {_S} SELECT borough, zone, count(*) AS trips, round(avg(trip_distance), 2) AS avg_distance FROM s JOIN zones ON pickup_location_id = location_id GROUP BY ALL"
 
 
-def _zone_join(trips: DataFrame, zones: DataFrame) -> DataFrame:
+def zone_join(trips: DataFrame, zones: DataFrame) -> DataFrame:
     return trips.join(zones, trips["pickup_location_id"] == zones["location_id"]).groupBy("borough", "zone").agg(F.count("*").alias("trips"), analytics.rounded("trip_distance", 2).alias("avg_distance"))
 
 
 @query(_ZONE_JOIN)
 def zone_join_no_hint(spark, d):
     """What is left without a hint and a threshold: both sides are sorted and merged."""
-    return _zone_join(bindings.sales_trips(spark, d, ("pickup",)), bindings.zones(spark, d).hint("merge"))
+    return zone_join(bindings.sales_trips(spark, d, ("pickup",)), bindings.zones(spark, d).hint("merge"))
 
 
 @query(_ZONE_JOIN)
 def zone_join_broadcast(spark, d):
-    return _zone_join(bindings.sales_trips(spark, d, ("pickup",)), integrate.lookup(bindings.zones(spark, d)))
+    return zone_join(bindings.sales_trips(spark, d, ("pickup",)), integrate.lookup(bindings.zones(spark, d)))
 
 
 @query(f"WITH {_E} SELECT condition_code, 'Condition_' || condition_code AS condition_name, round(avg(trip_distance), 3) AS avg_dist, count(*) AS trip_count FROM gold WHERE trip_distance > 0 GROUP BY 1, 2")
