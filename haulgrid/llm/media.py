@@ -1,8 +1,9 @@
 """Media columns: ISO base media files in a binary column.
 
 ``encode`` stores a payload as a track of raw 8-bit grey frames. ``probe`` walks the nested boxes of any such file,
-decodes the sample tables and gives codec, duration and the byte ranges of the keyframes without decoding a payload.
-``payloads`` follows the sample tables to the stored bytes.
+decodes the sample tables (sizes of 4 to 32 bits; fragments with their runs) and gives codec, duration and the byte ranges
+of the keyframes without decoding a payload. ``payload`` follows the sample tables to the stored bytes. What can't be read
+is an error that says why, never an empty answer.
 """
 
 from __future__ import annotations
@@ -16,10 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haulgrid.llm.scratch import in_arrow
+
 #: A frame of 24 x 24 grey pixels, frames of a second, frames of a chunk; each chunk begins with a keyframe.
 SIDE, RATE, CHUNK = 24, 25, 25
 FRAME = SIDE * SIDE
-_NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+_NESTED = {b"mdia", b"minf", b"stbl", b"dinf", b"edts"}
+#: Bits of a fragment's header and of its runs, which say what fields follow, and the bit of a sample that is no keyframe.
+_BASE, _ENTRY, _DURATION, _SIZE, _FLAGS, _FROM_FRAGMENT = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+_RUN_OFFSET, _RUN_FIRST, _RUN_DURATION, _RUN_SIZE, _RUN_FLAGS, _RUN_TIME = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+_NOT_KEY = 0x10000
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -75,6 +82,7 @@ def encode(payload: bytes) -> bytes:
 
 @dataclass
 class Track:
+    number: int = 0
     handler: str = ""
     codec: str = ""
     timescale: int = 0
@@ -122,6 +130,13 @@ def _track(data: memoryview, start: int, end: int) -> Track:
                 found.setdefault(kind, (a, b))
 
     walk(start, end)
+    if b"tkhd" in found:
+        a, _ = found[b"tkhd"]
+        track.number = struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0]
+    if b"dref" in found:
+        a, b = found[b"dref"]
+        if any(not data[c + 3] & 1 for _, c, _ in boxes(data, a + 8, b)):
+            raise ValueError("samples lie in another file")
     if b"mdhd" in found:
         a, _ = found[b"mdhd"]
         track.timescale, track.duration = struct.unpack_from(">IQ" if data[a] else ">II", data, a + (20 if data[a] else 12))
@@ -138,9 +153,21 @@ def _track(data: memoryview, start: int, end: int) -> Track:
         a, b = found[b"stsz"]
         same, n = struct.unpack_from(">II", data, a + 4)
         track.sizes = np.full(n, same, np.int64) if same else _numbers(data, a + 12, b, n, ">u4")
+    elif b"stz2" in found:
+        a, b = found[b"stz2"]
+        bits, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+        if bits == 4:
+            pairs = _numbers(data, a + 12, b, -(-n // 2), ">u1")
+            track.sizes = np.stack([pairs >> 4, pairs & 15], axis=1).ravel()[:n]
+        elif bits in (8, 16):
+            track.sizes = _numbers(data, a + 12, b, n, f">u{bits // 8}")
+        else:
+            raise ValueError(f"sizes of {bits} bits")
     n = len(track.sizes)
     place = found.get(b"stco") or found.get(b"co64")
-    if place and b"stsc" in found and n:
+    if n and not (place and b"stsc" in found):
+        raise ValueError("samples without a place")
+    if n:
         a, b = place
         starts = _numbers(data, a + 8, b, struct.unpack_from(">I", data, a + 4)[0], ">u4" if b"stco" in found else ">u8")
         a, b = found[b"stsc"]
@@ -155,16 +182,77 @@ def _track(data: memoryview, start: int, end: int) -> Track:
     if b"stss" in found:
         a, b = found[b"stss"]
         track.keys = _numbers(data, a + 8, b, struct.unpack_from(">I", data, a + 4)[0], ">u4") - 1
-    if len(track.offsets) and int((track.offsets + track.sizes).max()) > len(data) or len(track.keys) and int(track.keys.max()) >= n:
-        raise ValueError("a sample lies outside the file")
+        if len(track.keys) and (int(track.keys.max()) >= n or int(track.keys.min()) < 0):
+            raise ValueError("a keyframe is no sample")
     return track
 
 
+def _run(data: memoryview, at: int, end: int, track: Track, base: int, after: int, own: list[int]) -> int:
+    """Appends a run's samples; ``own`` has the duration, size and flags of samples that say nothing else. The run's end."""
+    word, n = struct.unpack_from(">II", data, at)
+    flags, at, start, first = word & 0xFFFFFF, at + 8, after, None
+    if flags & _RUN_OFFSET:
+        start, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+    if flags & _RUN_FIRST:
+        first, at = struct.unpack_from(">I", data, at)[0], at + 4
+    fields = [bit for bit in (_RUN_DURATION, _RUN_SIZE, _RUN_FLAGS, _RUN_TIME) if flags & bit]
+    table = _numbers(data, at, end, n * len(fields), ">u4").reshape(n, len(fields))
+    duration, size, kind = (table[:, fields.index(bit)].copy() if bit in fields else np.full(n, x, np.int64) for bit, x in zip((_RUN_DURATION, _RUN_SIZE, _RUN_FLAGS), own, strict=True))
+    if first is not None and n:
+        kind[0] = first
+    track.keys = np.concatenate([track.keys, len(track.sizes) + np.flatnonzero(kind & _NOT_KEY == 0)])
+    track.offsets = np.concatenate([track.offsets, start + np.cumsum(size) - size])
+    track.sizes = np.concatenate([track.sizes, size])
+    track.duration += int(duration.sum())
+    return start + int(size.sum())
+
+
+def _fragment(data: memoryview, whole: int, lo: int, hi: int, tracks: dict[int, Track], defaults: dict[int, tuple]) -> None:
+    """Appends the samples of a fragment whose box begins at ``whole``."""
+    after = whole
+    for kind, a, b in boxes(data, lo, hi):
+        if kind != b"traf":
+            continue
+        track, base, own = None, after, [0, 0, 0]
+        for inner, c, d in boxes(data, a, b):
+            if inner == b"tfhd":
+                word, number = struct.unpack_from(">II", data, c)
+                flags, at = word & 0xFFFFFF, c + 8
+                if number not in tracks:
+                    raise ValueError("a fragment of no track")
+                track, own = tracks[number], list(defaults.get(number, (0, 0, 0)))
+                base = whole if flags & _FROM_FRAGMENT else after
+                if flags & _BASE:
+                    base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+                at += 4 * bool(flags & _ENTRY)
+                for k, bit in enumerate((_DURATION, _SIZE, _FLAGS)):
+                    if flags & bit:
+                        own[k], at = struct.unpack_from(">I", data, at)[0], at + 4
+                after = base
+            elif inner == b"trun":
+                if track is None:
+                    raise ValueError("a run without its fragment's header")
+                after = _run(data, c, d, track, base, after, own)
+
+
 def parse(media: bytes) -> list[Track]:
     """All tracks of a file; ValueError where boxes or tables don't fit together."""
-    data = memoryview(media)
+    data, tracks, defaults, at = memoryview(media), [], {}, 0
     try:
-        return [_track(data, a, b) for kind, lo, hi in boxes(data, 0, len(data)) if kind == b"moov" for inner, a, b in boxes(data, lo, hi) if inner == b"trak"]
+        for kind, lo, hi in boxes(data, 0, len(data)):
+            if kind == b"moov":
+                for inner, a, b in boxes(data, lo, hi):
+                    if inner == b"trak":
+                        tracks.append(_track(data, a, b))
+                    elif inner == b"mvex":
+                        defaults |= {n: x for n, _, *x in (struct.unpack_from(">IIIII", data, c + 4) for k, c, _ in boxes(data, a, b) if k == b"trex")}
+            elif kind == b"moof":
+                _fragment(data, at, lo, hi, {t.number: t for t in tracks}, defaults)
+            at = hi
+        for t in tracks:
+            if len(t.sizes) and (int(t.offsets.min()) < 0 or int((t.offsets + t.sizes).max()) > len(data)):
+                raise ValueError("a sample lies outside the file")
+        return tracks
     except (struct.error, IndexError, RecursionError) as e:
         raise ValueError(f"malformed media: {e}") from e
 
@@ -187,7 +275,7 @@ def encode_texts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 256), pa.array([len(x) for x in texts], pa.int64()), pa.array([encode(padded(x)) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.transform(in_arrow, run, "doc_id long, n_bytes long, media binary")
 
 
 PROBE = "codec string, handler string, width int, height int, timescale long, duration long, samples long, keyframes array<struct<start:long,size:long>>, error string"
@@ -222,7 +310,7 @@ def probe(df: DataFrame, column: str = "media", with_payload: bool = False) -> D
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([one(x.as_py()) for x in part.column(at)], kind)], [*names, "probe"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", probe struct<{', '.join(f'{x.split()[0]}:{x.split(maxsplit=1)[1]}' for x in _split(fields))}>"
-    return df.mapInArrow(run, schema)
+    return df.transform(in_arrow, run, schema)
 
 
 def _split(fields: str) -> list[str]:
@@ -237,7 +325,11 @@ def _split(fields: str) -> list[str]:
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """Every text stored as a media file and read back: sizes, checksums and the features of the file."""
+    """Every text stored as a media file and read back: sizes, checksums and the features of the file.
+
+    A null text is empty and stored as one frame of padding. Repeated rows are each returned, a null doc_id stays null, an
+    empty table gives no rows; other columns are ignored.
+    """
     read = probe(encode_texts(docs), with_payload=True)
     p = F.col("probe")
     spans = F.concat_ws(",", F.transform(p["keyframes"], lambda k: F.concat_ws("+", k["start"].cast("string"), k["size"].cast("string"))))
