@@ -23,14 +23,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulgrid.llm.scratch import shared_root
+from haulgrid.llm.scratch import in_arrow, shared_root
 from haulgrid.llm.tokens import encoder
 
 LENGTH = 2048
 BATCH_ROWS = 256
 END_ID = 2
-#: Bytes of text (as UTF-8) for each file, about.
-FILE_BYTES = 24 << 20
+#: Bytes of text (as UTF-8) for each file, about, and most files: beyond, files grow (at 100 TB to 2 GB), which are
+#: written and read a batch at a time. The driver keeps a row for each file.
+FILE_BYTES, FILES = 24 << 20, 50_000
+#: Code points of a text that ranges are cut by, beside its doc_id: so that equal doc_ids may lie in several files.
+HEAD = 64
 
 
 def _open(root: str) -> tuple[pafs.FileSystem, str]:
@@ -116,7 +119,7 @@ def write(docs: DataFrame, tokenizer_path: str, root: str | None = None, files:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if files is None:
         size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-        files = max(1, -(-size // FILE_BYTES))
+        files = max(1, min(FILES, -(-size // FILE_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -147,8 +150,9 @@ def write(docs: DataFrame, tokenizer_path: str, root: str | None = None, files:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([writer.total], pa.int64())], ["part", "n_docs", "n_tokens"])
 
-    dealt = docs.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    done = sorted(dealt.mapInArrow(run, "part int, n_docs long, n_tokens long").collect())
+    head = F.substring("text", 1, HEAD).asc_nulls_first()
+    dealt = docs.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), head).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    done = sorted(dealt.transform(in_arrow, run, "part int, n_docs long, n_tokens long").collect())
     entries, start = [], 0
     for part, n_docs, n_tokens in done:
         entries.append({"part": part, "start": start, "n_docs": n_docs, "n_tokens": n_tokens})
@@ -182,7 +186,7 @@ def read(spark, folder: str, entries: list[dict]) -> DataFrame:
                             at += int(some.sum())
                             yield pa.RecordBatch.from_arrays([docs.column(0).slice(lo, len(some)), pa.array(base + begins, pa.int64()), pa.array(some, pa.int64()), pa.array(ids, pa.binary())], names)
 
-    return listed.repartition(max(1, len(entries)), "part").mapInArrow(run, schema)
+    return listed.repartition(max(1, len(entries)), "part").transform(in_arrow, run, schema)
 
 
 def token_report(docs: DataFrame, tokenizer_path: str) -> DataFrame:
