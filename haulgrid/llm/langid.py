@@ -21,6 +21,8 @@ from haulgrid.llm.textbytes import LOWER, U64, chunks, word_hashes, words
 BUCKETS = 1 << 16
 #: Log-odds that a change of language costs, and most that one word can tell.
 SWITCH, CLIP = 20.0, 12.0
+#: Languages that are learned at most, those with the most learning texts; languages that a task counts before it hands them on.
+LANGS, HELD = 256, 32
 #: A script is a language's if so many of its words are written in it.
 SCRIPT_SHARE = 0.005
 UNKNOWN = "und"
@@ -81,26 +83,35 @@ def features(data: np.ndarray, offsets: np.ndarray):
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Languages, and their log-probabilities of trigrams, words and scripts, from all rows with a text and a lang.
 
-    The driver receives one number for each language and bucket: a bound that does not grow with the documents.
+    The driver receives one number for each language and bucket, of LANGS languages at most (512 KB each): a bound that does
+    not grow with the documents, however many labels they have. Empty tables, and such without a lang, give no language.
     """
     known = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
+    langs = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect())
     size = 2 * BUCKETS + len(SCRIPTS)
 
     def run(batches):
-        total = np.zeros((len(langs), size), np.int64)
         number = {x: k for k, x in enumerate(langs)}
+        held: dict[int, np.ndarray] = {}
+
+        def counted():
+            for k, total in held.items():
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(k * size + some), pa.array(total[some])], ["cell", "n"])
+            held.clear()
+
         for batch in batches:
-            own = np.array([number[x] for x in batch.column(0).to_pylist()])
+            own = np.array([number.get(x, -1) for x in batch.column(0).to_pylist()])
             for i, j, data, offsets in chunks(batch.column(1)):
                 grams, first, spelt, script, lengths, at = features(data, offsets)
                 lang = np.repeat(own[i:j], np.diff(at))
-                for values, of in ((grams, np.repeat(lang, lengths)), (spelt + BUCKETS, lang), (script + 2 * BUCKETS, lang)):
-                    for k in np.unique(own[i:j]):
-                        some = np.bincount(values[of == k], minlength=size) if len(values) else 0
-                        total[k] += some
-        a, b = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(a * size + b, pa.int64()), pa.array(total[a, b], pa.int64())], ["cell", "n"])
+                for k in np.unique(lang[lang >= 0]).tolist():
+                    total = held.setdefault(k, np.zeros(size, np.int64))
+                    for values, of in ((grams, np.repeat(lang, lengths)), (spelt + BUCKETS, lang), (script + 2 * BUCKETS, lang)):
+                        total += np.bincount(values[of == k], minlength=size)
+                if len(held) > HELD:
+                    yield from counted()
+        yield from counted()
 
     cells = known.transform(in_arrow, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     cells = Scratch(docs.sparkSession, "lang").table(cells, "cells").toArrow()
@@ -223,7 +234,11 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def in_a_language(docs: DataFrame, least: float = 0.2) -> DataFrame:
-    """``docs`` without the rows that are ``und``, or have no language with a share of ``least``."""
+    """``docs`` without the rows that are ``und``, or have no language with a share of ``least``.
+
+    A null text has no language. Repeated rows are each judged, a null doc_id is kept like any other, an empty table stays
+    empty, and all columns stay as they are.
+    """
     held = docs.sparkSession.sparkContext.broadcast(learn(docs))
     at = docs.columns.index("text")
 
