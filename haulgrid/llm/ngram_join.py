@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulgrid.llm.components import connected_components
-from haulgrid.llm.scratch import Scratch, few, in_arrow, small, without_ids
+from haulgrid.llm.scratch import Scratch, few, in_arrow, small
 from haulgrid.llm.textbytes import LOWER, SPACE, U64, chunks, mix, sequence_hash, signed, windows, word_hashes, words
 
 GROUPS = 128
@@ -94,7 +94,7 @@ def signatures(u: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def enter(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, key of the set and its signatures, these only once in a task for equal sets."""
+    """doc_id, text_hash, n_shingles, key of the set and its signatures, these only once in a task for equal sets."""
 
     def run(batches):
         seen: set[int] = set()
@@ -112,9 +112,9 @@ def enter(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
             flat = np.concatenate(sigs) if sigs else none
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists], ["doc_id", "n_shingles", "key", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists], ["doc_id", "text_hash", "n_shingles", "key", "sigs"])
 
-    return docs.transform(in_arrow, run, "doc_id long, n_shingles long, key long, sigs array<long>")
+    return docs.withColumn("text_hash", F.xxhash64("text")).transform(in_arrow, run, "doc_id long, text_hash long, n_shingles long, key long, sigs array<long>")
 
 
 def point(u: np.ndarray, groups: int = GROUPS) -> np.ndarray:
@@ -313,7 +313,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, set key and component_id of every row of ``docs``: linked are sets with J >= num / den.
+    """doc_id, text_hash, n_shingles, component (a set's key) and component_id of every row of ``docs``: linked are sets with J >= num / den.
 
     component_id is the least doc_id that links reach. A null text or one without words is linked with nothing: its
     component is its own doc_id. A null doc_id takes part, but is never a component's id while another is there.
@@ -327,7 +327,7 @@ def components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -
     blocks = scratch.table(rows.join(shared, "sig").distinct(), "blocks")
     labels = _linked(docs, entered, blocks, scratch, width, num, den) if not blocks.isEmpty() else None
 
-    own = entered.select("doc_id", "n_shingles", "key")
+    own = entered.select("doc_id", "text_hash", "n_shingles", "key")
     if labels is not None:
         own = own.join(labels.withColumnRenamed("node", "key"), "key", "left")
     else:
@@ -336,7 +336,7 @@ def components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -
     rows = entered.count()
     ids = scratch.table(own.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "ids", rows=rows)
     out = own.join(small(ids), "component", "left")
-    return few(out, rows).select("doc_id", "n_shingles", "key", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return few(out, rows).select("doc_id", "text_hash", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _linked(docs: DataFrame, entered: DataFrame, blocks: DataFrame, scratch: Scratch, width: int, num: int, den: int) -> DataFrame:
@@ -388,16 +388,25 @@ def ngram_report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each component, the one with the least doc_id; repeated rows stay once.
+    """``docs`` with one document of each component, the one with the least doc_id; repeated rows with a doc_id stay once.
 
-    Rows without words and rows whose component has no doc_id at all stay.
+    Decided by doc_id and text, so rows with one doc_id and different texts are judged each on its own. Rows without words
+    and rows whose component has no doc_id at all stay; a row without a doc_id goes if its component has one.
     """
     scratch = Scratch(docs.sparkSession, "one")
     found = scratch.table(components(docs, width, num, den), "found")
-    gone = found.where("component_id <> doc_id").select("doc_id")
-    kept = without_ids(docs, gone)
-    twice = found.where("doc_id is not null").groupBy("doc_id", "key").count().where("count > 1").select("doc_id").distinct()
+    grouped = found.where("n_shingles > 0 and component_id is not null")
+    kept_of = grouped.where("doc_id = component_id").groupBy("component").agg(F.min("text_hash").alias("kept_hash"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    gone = scratch.table(grouped.join(kept_of, "component").where(~stays).select("doc_id", "text_hash").distinct(), "gone")
+    twice = found.where("doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
+    twice = scratch.table(twice, "twice")
+
+    def of(rows: DataFrame, how: str) -> DataFrame:
+        some = small(rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+        return lambda df: df.join(some, F.col("doc_id").cast("long").eqNullSafe(some["_id"]) & (F.xxhash64(F.col("text").cast("string")) == some["_hash"]), how)
+
+    kept = docs.transform(of(gone, "left_anti"))
     if twice.isEmpty():
         return kept
-    again = kept.join(small(twice), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return without_ids(kept, twice).unionByName(again)
+    return kept.transform(of(twice, "left_anti")).unionByName(kept.transform(of(twice, "left_semi")).dropDuplicates(["doc_id", "text"]))
