@@ -165,6 +165,79 @@ def test_media_walks_other_files():
     assert media.parse(b"") == []
 
 
+def _sized(media_file, old, new):
+    """The file with a sample table replaced and all sizes around it (and places after it) mended."""
+    at = media_file.index(old[4:8]) - 4
+    assert media_file[at : at + len(old)] == old
+    out, grown = bytearray(media_file[:at] + new + media_file[at + len(old) :]), len(new) - len(old)
+    for kind in (b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+        where = media_file.index(kind) - 4
+        out[where : where + 4] = (int.from_bytes(media_file[where : where + 4], "big") + grown).to_bytes(4, "big")
+    where = out.index(b"stco") + 12
+    for k in range(int.from_bytes(out[where - 4 : where], "big")):
+        spot = where + 4 * k
+        out[spot : spot + 4] = (int.from_bytes(out[spot : spot + 4], "big") + grown).to_bytes(4, "big")
+    return bytes(out)
+
+
+def test_media_compact_sizes():
+    text = media.padded(b"abc" * 500)
+    one = media.encode(text)
+    at = one.index(b"stsz") - 4
+    table = one[at : at + 20]
+    wide = media._full(b"stz2", 0, bytes([0, 0, 0, 16]), (3).to_bytes(4, "big"), (576).to_bytes(2, "big") * 3)
+    track = media.parse(_sized(one, table, wide))[0]
+    assert track.sizes.tolist() == [576] * 3 and media.payload(_sized(one, table, wide), track) == text
+    for bits, sizes, want in ((8, bytes([200, 100, 7]), [200, 100, 7]), (4, bytes([0x9F, 0x30]), [9, 15, 3])):
+        small = media._full(b"stz2", 0, bytes([0, 0, 0, bits]), (3).to_bytes(4, "big"), sizes)
+        track = media.parse(_sized(one, table, small))[0]
+        assert track.sizes.tolist() == want and np.diff(track.offsets).tolist() == want[:2]
+    for bad, why in ((media._full(b"stz2", 0, bytes([0, 0, 0, 5]), bytes(4)), "5 bits"), (media._full(b"stz2", 0, bytes([0, 0, 0, 16]), (3).to_bytes(4, "big"), b"ab"), "cut off")):
+        with pytest.raises(ValueError, match=why):
+            media.parse(_sized(one, table, bad))
+
+
+def fragmented(parts, from_fragment=True):
+    """A file whose samples lie in fragments: (sizes, durations or None, whether each is a keyframe) and their bytes."""
+    import struct
+
+    whole = media.encode(media.padded(b""))
+    at = whole.index(b"moov") - 4
+    old = whole[at:]
+    empty = media._box(b"stbl", *(media._full(k, 0, bytes(4)) for k in (b"stts", b"stsc", b"stco")), media._full(b"stsz", 0, bytes(8)), old[old.index(b"stsd") - 4 :][: int.from_bytes(old[old.index(b"stsd") - 4 :][:4], "big")])
+    mdhd = media._full(b"mdhd", 0, struct.pack(">IIIIHH", 0, 0, 25, 0, 0, 0))
+    hdlr = media._full(b"hdlr", 0, struct.pack(">I4s12x", 0, b"vide"), b"x\0")
+    tkhd = media._full(b"tkhd", 3, struct.pack(">III", 0, 0, 7), bytes(68))
+    trex = media._full(b"trex", 0, struct.pack(">IIIII", 7, 1, 2, 576, 0x10000))
+    out = whole[:at] + media._box(b"moov", media._box(b"trak", tkhd, media._box(b"mdia", mdhd, hdlr, media._box(b"minf", empty))), media._box(b"mvex", trex))
+    for sizes, durations, keys, payload in parts:
+        flags = 0x1 | (0x200 if sizes else 0) | (0x100 if durations else 0) | 0x400
+        n = len(keys)
+
+        def moof(offset, sizes=sizes, durations=durations, keys=keys, flags=flags, n=n):
+            rows = b"".join(b"".join(struct.pack(">I", x) for x in ([durations[k]] if durations else []) + ([sizes[k]] if sizes else []) + [0 if keys[k] else 0x10000]) for k in range(n))
+            run = media._full(b"trun", flags, struct.pack(">Ii", n, offset), rows)
+            head = media._full(b"tfhd", 0x20000, struct.pack(">I", 7)) if from_fragment else media._full(b"tfhd", 0x1, struct.pack(">IQ", 7, len(out)))
+            return media._box(b"moof", media._full(b"mfhd", 0, bytes(4)), media._box(b"traf", head, run))
+
+        size = len(moof(0))
+        out += moof(size + 8) + media._box(b"mdat", payload)
+    return out
+
+
+@pytest.mark.parametrize("from_fragment", [True, False])
+def test_media_fragments(spark, from_fragment):
+    parts = [([3, 5, 2], [1, 1, 4], [True, False, True], b"aaabbbbbcc"), (None, None, [True], b"z" * 576)]
+    whole = fragmented(parts, from_fragment)
+    track = media.parse(whole)[0]
+    assert track.sizes.tolist() == [3, 5, 2, 576] and track.keys.tolist() == [0, 2, 3] and track.duration == 8
+    assert media.payload(whole, track) == b"aaabbbbbcc" + b"z" * 576
+    rows = spark.createDataFrame([(1, bytearray(whole)), (2, bytearray(whole[:-1])), (3, bytearray(whole.replace(b"tfhd", b"xxxx")))], "a int, media binary")
+    found = {r.a: r.probe for r in media.probe(rows).collect()}
+    assert found[1].samples == 4 and len(found[1].keyframes) == 3 and found[1].error is None
+    assert "cut off" in found[2].error and "header" in found[3].error
+
+
 def test_media_errors_are_rows(spark):
     df = spark.createDataFrame([(1, bytearray(b"junk that is no file")), (2, None)], "a int, media binary")
     assert [r.probe.error is not None for r in media.probe(df).collect()] == [True, True]
@@ -312,6 +385,13 @@ def test_one_of_each(copies, odd):
     assert Counter(r.doc_id for r in rows if r.doc_id is not None) == Counter([1, 2, 3, 4, 5, 7, 8, 9]) and ngram_join.one_of_each(odd).columns == odd.columns
 
 
+def test_one_of_each_by_text(spark):
+    same, other, third = (" ".join(f"{w}{k}" for k in range(30)) for w in ("one", "two", "three"))
+    rows = [(6, same), (6, other), (3, same), (None, same), (None, third), (None, third), (9, other + " more"), (9, other + " more"), (None, None), (8, None), (8, None), (7, same.upper())]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(3, same), (6, other), (None, third), (None, third), (None, None), (8, None)])
+
+
 def test_leaks_against_brute_force(spark, docs):
     benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet")
     words = lambda t: re.findall(r"\w+", (t or "").lower())
@@ -637,6 +717,33 @@ def test_language_accuracy(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
 
 
+def test_learned_counts(spark):
+    """Scores of words by plain counts of trigrams, words and scripts."""
+    rng = random.Random(12)
+    texts = [(" ".join("".join(rng.choice("abcdeäé") for _ in range(rng.randint(1, 6))) for _ in range(30)), rng.choice(["x", "y", "z"])) for _ in range(60)]
+    df = spark.createDataFrame([(k, t, g) for k, (t, g) in enumerate([*texts, (None, "x"), ("abc", None), ("", "w")])], "doc_id long, text string, lang string").repartition(3)
+    langs, trigram, word, scripts = langid.learn(df)
+    assert langs == ["w", "x", "y", "z"]
+    low = lambda t: bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())
+    bucket = lambda a, b, c: ((a * 0x1F35 + b) * 0x2F0B + c * 0x61C9 + (b << 7)) % 65521
+    counts = {g: Counter() for g in langs}
+    for t, g in texts:
+        for w in low(t).split():
+            counts[g].update(bucket(a, b, c) for a, b, c in zip(b"\0" + w, w, w[1:] + b"\0", strict=False))
+    for cell in {c for g in langs for c in counts[g]}:
+        logs = [math.log((counts[g][cell] + 0.5) / (sum(counts[g].values()) + 0.5 * 65536)) for g in langs]
+        assert np.allclose(trigram[cell], np.array(logs) - max(logs), atol=1e-5)
+    assert scripts[0].tolist() == [-12.0, 0.0, 0.0, 0.0]
+
+
+def test_many_labels(spark, monkeypatch):
+    """Labels beyond those that are learned: the most frequent ones are."""
+    monkeypatch.setattr(langid, "LANGS", 3)
+    monkeypatch.setattr(langid, "HELD", 1)
+    rows = [(k, f"{g} " * 5, g) for k, g in enumerate(["aa"] * 5 + ["bb"] * 4 + ["cc"] * 3 + [f"d{x}" for x in "efghij"])]
+    assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2))[0] == ["aa", "bb", "cc"]
+
+
 def test_language_spans(spark):
     one, two = "the house of the king and the river is near the town where they lived", "la casa del rey y el río está cerca de la ciudad donde ellos vivían"
     learned = [(i, " ".join(random.Random(i).sample(s.split(), 10)), lang) for i in range(80) for s, lang in ((one, "en"), (two, "es"), ("дом короля и река рядом с городом где они жили вместе", "ru"))]
@@ -667,58 +774,67 @@ def test_label_of_two_languages_beside_the_best():
 
 
 def brute_urls(rows, labels):
-    """page_id to (host, path, rule, verdict), from the rules and the tree as described."""
+    """page_id to (host, path, rule, verdict), from the rules and the tree of all segments as described."""
     pages, leaf = {}, defaultdict(lambda: [0, 0, 0])
     for k, url in rows:
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
         host, path = ("".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")
-        s = [x for x in path.split("/") if x]
         kind = lambda x: "<n>" if re.fullmatch("[0-9]+", x) else re.sub("^[0-9]+", "<n>", x) if re.fullmatch("[0-9]+[.][a-z]+", x) else "<h>" if re.fullmatch("[0-9a-f]{8,}", x) else x
-        t = tuple([kind(x) for x in s[:3]] + [""] * (3 - len(s[:3])))
-        key = (host, *t, len(s) > 3)
+        key = (host, tuple(kind(x) for x in path.split("/") if x))
         bad = labels.get(k)
-        leaf[key][0] += 1
-        leaf[key][1] += bad is not None
-        leaf[key][2] += bad or 0
+        for n, v in enumerate((1, bad is not None, bad or 0)):
+            leaf[key][n] += v
         fits = [(h + p, a) for a, h, p in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         pages[k] = (host, path, max(fits, key=lambda x: len(x[0]), default=(None, None)), key)
-    name = {k: k[:1] for k in leaf}
-    for d in (1, 2, 3):
-        own, kids = Counter(), defaultdict(set)
-        for k, v in leaf.items():
-            own[name[k], k[d]] += v[0]
-            kids[name[k]].add(k[d])
-        total = Counter()
-        for (p, _), v in own.items():
-            total[p] += v
-        name = {k: (*p, "*" if len(kids[p] - {""}) > 32 and own[p, k[d]] * 32 < total[p] and k[d] else k[d]) for k, p in name.items()}
+    template, deepest = {}, 0
+
+    def descend(node, leaves, level):
+        """Names the children of a node, from the root down."""
+        nonlocal deepest
+        deepest = max(deepest, level)
+        kids = defaultdict(list)
+        for x in leaves:
+            kids[x[1][level - 1] if len(x[1]) >= level else ""].append(x)
+        total = sum(leaf[x][0] for x in leaves)
+        named = defaultdict(list)
+        for child, own in kids.items():
+            rare = child and len(set(kids) - {""}) > 32 and sum(leaf[x][0] for x in own) * 32 < total
+            named["*" if rare else child] += own
+        for name, own in named.items():
+            if name == "":
+                template.update({x: node for x in own})
+            elif len(own) == 1:
+                template[own[0]] = (*node, name, *own[0][1][level:])
+            else:
+                descend((*node, name), own, level + 1)
+
+    for host in {h for h, _ in leaf}:
+        descend((), [x for x in leaf if x[0] == host], 1)
     group = defaultdict(lambda: [0, 0, True])
-    for k, v in leaf.items():
-        g = group[(*name[k], k[4])]
+    for x, v in leaf.items():
+        g = group[x[0], template[x]]
         g[0] += v[1]
         g[1] += v[2]
-    for branch, parent in ((5, 3), (3, 2), (2, 1)):
-        nodes = {k[:branch]: tuple(v[:2]) for k, v in group.items() if v[2]}
-        pooled, like, merged = defaultdict(lambda: [0, 0]), {}, defaultdict(lambda: [0, 0])
-        for k, (a, b) in nodes.items():
-            pooled[k[:parent]][0] += a
-            pooled[k[:parent]][1] += b
-        for k, (a, b) in nodes.items():
-            p = (pooled[k[:parent]][1] + 1) / (pooled[k[:parent]][0] + 2)
-            like[k] = a == 0 or abs(b / a - p) <= 1.96 * math.sqrt(p * (1 - p) / a)
-            if like[k]:
-                merged[k[:parent]][0] += a
-                merged[k[:parent]][1] += b
-        for k, v in group.items():
-            if v[2] and like[k[:branch]]:
-                v[0], v[1] = merged[k[:parent]]
-            else:
-                v[2] = False
+    for level in range(deepest, 0, -1):
+        branches = defaultdict(list)
+        for (host, t), v in group.items():
+            if v[2] and len(t) >= level - 1:
+                branches[host, t[: level - 1], t[:level]].append(v)
+        parents = defaultdict(list)
+        for (host, parent, _), held in branches.items():
+            parents[host, parent].append((max(v[0] for v in held), max(v[1] for v in held), held))
+        for of in parents.values():
+            p = (sum(b for _, b, _ in of) + 1) / (sum(a for a, _, _ in of) + 2)
+            like = [a == 0 or abs(b / a - p) <= 1.96 * math.sqrt(p * (1 - p) / a) for a, b, _ in of]
+            sums = [sum(x[k] for x, y in zip(of, like, strict=True) if y) for k in (0, 1)]
+            for (_, _, held), y in zip(of, like, strict=True):
+                for v in held:
+                    v[:] = [*sums, True] if y else [v[0], v[1], False]
     known = [v for k, v in labels.items() if k in pages and v is not None]
     prior = sum(known) / len(known) if known else 0.0
     out = {}
     for k, (host, path, (rule, action), key) in pages.items():
-        a, b, _ = group[(*name[key], key[4])]
+        a, b, _ = group[host, template[key]]
         out[k] = (host, path, rule, action or ("block" if (b + 10 * prior) / (a + 10) >= 0.5 else "allow"))
     return out
 
@@ -741,6 +857,26 @@ def test_url_filter(spark):
     assert urlfilter.judge(pages.limit(0), known).count() == 0 and urlfilter.judge(pages, known.limit(0)).where("rule is null and verdict = 'block'").count() == 0
 
 
+def test_url_tree_against_brute_force(spark):
+    """Random trees of up to nine segments, with bad branches at all depths; a very long url, nulls, repeats, clashing columns."""
+    rng = random.Random(21)
+    rows, labels = [], {}
+    for k in range(1200):
+        path = [rng.choice("ab") for _ in range(rng.randint(0, 7))] + rng.choice([[f"{k}.html"], [str(k)], [], [f"{k:09x}"], [f"p{rng.randint(0, 60)}"]])
+        rows.append((k, f"http://{rng.choice(['h.org', 'i.org'])}/" + "/".join(path)))
+        if rng.random() < 0.7:
+            labels[k] = int(rng.random() < (0.95 if path[:4] == ["a", "b", "b", "a"] or path[:2] == ["b", "b"] else 0.15))
+    rows += [(5000, "http://h.org/" + "/".join(f"s{i}" for i in range(3000))), (5001, None), (5002, "x" * 200_000), (5003, "http://h.org//a///b//")]
+    clash = {c: F.lit("x") for c in ("s", "t", "n", "bad", "child", "own", "open", "rule", "verdict", "template", "_rule", "level")}
+    pages = spark.createDataFrame([*rows, rows[3], (None, rows[4][1])], "page_id long, url string").withColumns(clash).repartition(3)
+    known = spark.createDataFrame(list(labels.items()), "page_id long, bad int")
+    got = urlfilter.judge(pages, known).collect()
+    assert Counter(r.page_id for r in got) == Counter([k for k, _ in rows] + [3, None])
+    want = brute_urls([*rows, (-3, rows[3][1]), (-4, rows[4][1])], labels | {-3: labels.get(3)})
+    assert all((r.host, r.path, r.rule, r.verdict) == want[-4 if r.page_id is None else r.page_id] for r in got)
+    assert {"allow", "block"} == {r.verdict for r in got}
+
+
 def test_url_branches_at_any_depth(spark):
     rows, labels, want = [], {}, {}
     for k in range(240):
