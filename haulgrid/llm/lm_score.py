@@ -143,18 +143,26 @@ def fresh(share: np.ndarray, seed: int = 1) -> list[np.ndarray]:
     return [x.astype(np.float32) for x in (*net, classes, leaves)]
 
 
+_ONES = np.ones(64, np.float32)
+
+
+def _safe(z: np.ndarray) -> np.ndarray:
+    """Rows less their maximum, in place, but only where exponentials could grow too large."""
+    if z.max() > 40:
+        z -= z.max(axis=1, keepdims=True)
+    return z
+
+
 def _log_share(z: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
     """The logarithm of the softmax of one column (``of``) of each row."""
-    z -= z.max(axis=1, keepdims=True)
-    own = z[at, of]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+    own = _safe(z)[at, of]
+    return own - np.log(np.exp(z, out=z) @ _ONES)
 
 
 def _slope(z: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
     """The gradient of the mean loss, where ``of`` has each row's true column, in place."""
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z *= 1 / (len(z) * z.sum(axis=1, keepdims=True))
+    np.exp(_safe(z), out=z)
+    z *= (1 / (len(z) * (z @ _ONES)))[:, None]
     z[at, of] -= np.float32(1 / len(z))
     return z
 
@@ -271,14 +279,15 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     return Vocabulary(np.array([r.word for r in top], np.int64), ids), share / share.sum()
 
 
-def _spelt(found: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cells, each once, and their counts in the words that are no leaf."""
+def _count_spelt(counts: np.ndarray, found: Words, ids: np.ndarray) -> None:
+    """Adds the cells of the words that are no leaf."""
     cells, fronts = found.spellings()
     rare = ids % LEAVES == 0
     marks = np.zeros(len(cells) + 1, np.int64)
     marks[found.starts[rare]] += 1
     marks[found.ends[rare]] -= 1
-    return np.unique(np.concatenate([cells[np.cumsum(marks[:-1]) > 0], fronts[rare]]), return_counts=True)
+    np.add.at(counts, cells[np.cumsum(marks[:-1]) > 0], 1)
+    np.add.at(counts, fronts[rare], 1)
 
 
 BLOCK = 1 << 15
@@ -306,11 +315,11 @@ def trained(docs: DataFrame, words_of: Vocabulary, share: np.ndarray, rounds: in
                 for _, _, data, offsets in chunks(batch.column(0)):
                     found = Words(data, offsets)
                     ids = known.of(found)
-                    cells, counts = _spelt(found, ids)
-                    spelt[cells] += counts
-                    for leaf, at in zip(*np.unique(ids, return_index=True), strict=True):
-                        if leaf % LEAVES and leaf not in leaves:
-                            leaves[leaf] = LOWER[data[found.starts[at] : found.ends[at]]].tobytes()
+                    _count_spelt(spelt, found, ids)
+                    if len(leaves) < len(known.ids):
+                        for leaf, at in zip(*np.unique(ids, return_index=True), strict=True):
+                            if leaf % LEAVES and leaf not in leaves:
+                                leaves[leaf] = LOWER[data[found.starts[at] : found.ends[at]]].tobytes()
                     window, order = windows(ids, found.at), rng.permutation(len(ids))
                     for lo in range(0, len(ids), BATCH):
                         some = order[lo : lo + BATCH]
