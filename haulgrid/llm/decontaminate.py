@@ -200,17 +200,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: f
     for w in widths:
         own = template_windows(benchmark, "item_id", width, {w: b"\xff" * 8192}, item=True)
         items = own if items is None else items.unionByName(own)
-    items = scratch.table(items.where("id is not null").distinct(), "items")
+    # A window that an item repeats is entered once, at its first place, so that no pairs of repeats arise.
+    once = F.row_number().over(Window.partitionBy("id", "hash", "opener").orderBy("at"))
+    items = items.where("id is not null").withColumn("_once", once).where("_once = 1").drop("_once")
+    plain = items.where("not opener").groupBy("id").agg(F.max("of").alias("all"), F.max("of_typed").alias("all_typed"), F.count("*").cast("int").alias("of"), F.count_if("typed").cast("int").alias("of_typed"))
+    items = scratch.table(items.drop("of", "of_typed").join(plain, "id"), "items")
     counts = {r.width: r["count"] for r in items.groupBy("width").count().collect()}
     if not counts:
         counts = {width: 0}
     bitmaps = {w: _bitmap(items.where(F.col("width") == w), n) if n <= BITMAP_WINDOWS else b"\xff" * 8192 for w, n in counts.items()}
     found = template_windows(docs, "doc_id", width, bitmaps).where("id is not null")
     pairs = found.select(F.col("id").alias("doc_id"), "hash", F.col("at").alias("doc_at"), "width", F.col("opener").alias("doc_opener"), F.col("slots").alias("doc_slots")).join(
-        items.select(F.col("id").alias("item_id"), "hash", "at", "width", "of", "of_typed", "typed", "opener", F.col("slots").alias("item_slots")), ["hash", "width"]
+        items.select(F.col("id").alias("item_id"), "hash", "at", "width", "of", "of_typed", "all", "all_typed", "typed", "opener", F.col("slots").alias("item_slots")), ["hash", "width"]
     )
     opener = (F.col("opener") | F.col("doc_opener")).alias("opener")
-    pairs = scratch.table(pairs.select("doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("start"), "at", "width", "of", "of_typed", "typed", opener, "doc_slots", "item_slots").distinct(), "pairs")
+    pairs = scratch.table(pairs.select("doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("start"), "at", "width", "of", "of_typed", "all", "all_typed", "typed", opener, "doc_slots", "item_slots").distinct(), "pairs")
+    met = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct(F.col("start") + F.col("at")).alias("met"))
     # Windows are looked at by distance, by distances near each other, and by unbroken runs.
     places = pairs.select("doc_id", "item_id", "start", "at").distinct()
     both = Window.partitionBy("doc_id", "item_id").orderBy("start")
@@ -222,13 +227,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: f
     runs = [[F.struct(F.lit(k).alias("kind"), F.lit(openers).alias("openers"), x.cast("long").alias("x"), y.cast("long").alias("y")) for k, x, y in kinds] for openers in (0, 1)]
     pairs = pairs.join(places, ["doc_id", "item_id", "start", "at"]).withColumn("run", F.explode(F.when(F.col("opener"), F.array(*runs[1])).otherwise(F.array(*runs[0], *runs[1]))))
     run = ["doc_id", "item_id", "cluster", "run"]
-    spans = pairs.groupBy(*run).agg(F.min("start").alias("start"), F.countDistinct("at").alias("n"), F.count_distinct(F.when(F.col("typed"), F.col("at"))).alias("n_typed"), F.max("of").alias("of"), F.max("of_typed").alias("of_typed"), F.max("width").alias("width"))
+    spans = pairs.groupBy(*run).agg(F.min("start").alias("start"), F.countDistinct("at").alias("n"), F.count_distinct(F.when(F.col("typed"), F.col("at"))).alias("n_typed"), F.max("of").alias("of"), F.max("of_typed").alias("of_typed"), F.max("all").alias("all"), F.max("all_typed").alias("all_typed"), F.max("width").alias("width"))
     # Each slot of the item with the value it has in the document: all through an occurrence, one stands for one.
     slots = pairs.select(*run, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select(*run, F.col("s.item_slots").alias("theirs"), F.col("s.doc_slots").alias("ours"))
     slots = slots.where("theirs <> 0 and ours <> 0").distinct().groupBy(*run).agg(F.count("*").alias("both"), F.countDistinct("theirs").alias("a"), F.countDistinct("ours").alias("b"), F.max((F.col("theirs") != F.col("ours")).cast("int")).alias("changed"))
     typed = F.when(F.col("of_typed") * 2 >= F.col("of"), F.col("n_typed") / F.col("of_typed")).otherwise(0.0)
     found = spans.join(slots, run, "left").where(F.col("both").isNull() | ((F.col("both") == F.col("a")) & (F.col("both") == F.col("b")))).withColumn("coverage", F.greatest(F.col("n") / F.col("of"), typed))
-    whole = (F.col("run.kind") < 2) & (F.col("coverage") >= coverage)
+    # Of an item that repeats itself, a document must hold as many windows as the share asks for, repeats included.
+    found = found.join(met, ["doc_id", "item_id"]).withColumn("coverage", F.least("coverage", F.lit(1.0)))
+    enough = F.col("met") >= coverage * F.when(typed >= coverage, F.least("all", "all_typed")).otherwise(F.col("all"))
+    whole = (F.col("run.kind") < 2) & (F.col("coverage") >= coverage) & ((F.col("of") == F.col("all")) | enough)
     unbroken = (F.col("run.kind") == 2) & (F.col("n") + F.col("width") - 1 >= RUN)
     rank = F.col("run.kind") * 2 + F.col("run.openers")
     found = found.where(whole | unbroken).withColumn("first", F.min(rank).over(Window.partitionBy("doc_id", "item_id", "cluster"))).where(rank == F.col("first"))
