@@ -33,7 +33,9 @@ from haulgrid.llm.textbytes import LOWER, U64, chunks, mix, signed, word_hashes,
 CLASSES, LEAVES, HIDDEN = 64, 64, 24
 #: Words seen on each side; the id of what lies beyond a text's borders.
 WINDOW, BORDER = 2, 64 * 64
-#: Passes of a model through the tasks, each over other documents; words of a step; step size.
+#: Places that are laid out together, with their surroundings; BATCH is a multiple.
+RUN = 16
+#: Passes of a model through the tasks, each over other documents; words of a step, at most; step size.
 ROUNDS, BATCH, RATE = 3, 8192, 0.1
 #: Words of a sentence that are remembered together; a longer one is cut, a shorter one than LEAST is not remembered.
 LEAST, MOST = 4, 32
@@ -48,20 +50,21 @@ _STOP[[10, 13, 33, 46, 58, 59, 63]] = True
 _SYMBOL = np.zeros(256, np.int32)
 _SYMBOL[np.flatnonzero(_LETTER[LOWER] & (LOWER == np.arange(256)))] = np.arange(1, 165)
 SYMBOLS = 165
-_OFFSETS = [k for k in range(-WINDOW, WINDOW + 1) if k]
+#: The symbol of each byte of a text; 0 where it is no letter.
+_OF_BYTE = np.where(_LETTER, _SYMBOL[LOWER], 0).astype(np.int32)
+#: Where the words of a window stand in a run, from the window's first.
+_PLACES = [k for k in range(2 * WINDOW + 1) if k != WINDOW]
 
 
 class Words:
     """The words of some texts: hash, ending (last two symbols), offsets of each text's words, sentence numbers, cells of spelling."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        low = LOWER[data]
-        is_word = _LETTER[data]
-        self.starts, self.ends, self.at = words(is_word, offsets)
-        self.hashes = word_hashes(low, self.starts, self.ends)
-        symbol = np.where(is_word, _SYMBOL[low], 0)
-        self.symbol = np.concatenate([symbol, [0, 0]])
-        self.after = self.symbol[1:-1].copy()  # the byte after each, in its word
+        self.starts, self.ends, self.at = words(_LETTER[data], offsets)
+        self.hashes = word_hashes(LOWER[data], self.starts, self.ends)
+        symbol = self.symbol = np.zeros(len(data) + 2, np.int32)
+        np.take(_OF_BYTE, data, out=symbol[:-2], mode="clip")
+        self.after = symbol[1:-1].copy()  # the byte after each, in its word
         borders = offsets[(offsets > 0) & (offsets < len(data))]
         self.after[borders - 1] = 0
         last, before = symbol[self.ends - 1], symbol[np.maximum(self.ends - 2, 0)]
@@ -71,19 +74,21 @@ class Words:
     def sentences(self) -> np.ndarray:
         """The number of each word's sentence, or of its part of MOST words."""
         n = len(self.starts)
-        stops = np.concatenate([[0], np.cumsum(_STOP[self._data])])
-        first = np.ones(n, bool)
-        first[1:] = stops[self.starts[1:]] > stops[self.ends[:-1]]
-        first[self.at[:-1][self.at[:-1] < n]] = True
-        begins = np.flatnonzero(first)
+        first = np.zeros(n + 1, bool)
+        first[np.searchsorted(self.starts, np.flatnonzero(_STOP[self._data]))] = True  # the word after each stop, if any
+        first[self.at] = True
+        begins = np.flatnonzero(first[:n])
         place = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
         return np.cumsum(place % MOST == 0) - 1
 
     def spellings(self) -> tuple[np.ndarray, np.ndarray]:
         """(second after, after, byte) of each byte as one number, and of each word's border before its first byte."""
         n = len(self.after)
-        second = np.where(self.after > 0, np.concatenate([self.after[1:], [0]]), 0) if n else self.after
-        cells = (second * SYMBOLS + self.after) * SYMBOLS + self.symbol[:n]
+        cells = np.zeros(n, np.int32)
+        np.multiply(self.after[1:], self.after[:-1] > 0, out=cells[:-1])
+        for symbol in (self.after, self.symbol[:n]):
+            cells *= SYMBOLS
+            cells += symbol
         long = self.ends - self.starts > 1
         fronts = (np.where(long, self.symbol[np.minimum(self.starts + 1, n)], 0) * SYMBOLS + self.symbol[self.starts]) * SYMBOLS
         return cells, fronts
@@ -104,26 +109,36 @@ class Vocabulary:
     def __init__(self, hashes: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], ids[order]
+        # Places by the first 16 bits of a hash: a list for each, of as many places as the longest has, else -1.
+        heads = (self.hashes.view(U64) >> U64(48)).astype(np.int64)
+        by = np.argsort(heads, kind="stable")
+        nth = np.arange(len(by)) - np.searchsorted(heads[by], heads[by])
+        self.lists = np.full((int(nth.max(initial=-1)) + 1, 1 << 16), -1, np.int32)
+        self.lists[nth, heads[by]] = by
 
     def of(self, found: Words) -> np.ndarray:
         out = class_of(found.ending) * LEAVES
-        if len(self.hashes) and len(out):
-            hashes = signed(found.hashes)
-            spot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            out = np.where(self.hashes[spot] == hashes, self.ids[spot], out)
+        hashes, heads = signed(found.hashes), (found.hashes >> U64(48)).astype(np.int64)
+        for listed in self.lists:
+            spot = listed[heads]
+            at = np.flatnonzero(spot >= 0)
+            at = at[self.hashes[spot[at]] == hashes[at]]
+            out[at] = self.ids[spot[at]]
         return out
 
 
 def windows(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The ids before and after each word (2 * WINDOW rows); BORDER beyond a text."""
-    n = len(ids)
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    out = np.full((len(_OFFSETS), n), BORDER, np.int64)
-    for row, k in zip(out, _OFFSETS, strict=True):
-        to = np.arange(max(0, -k), n - max(0, k))
-        same = text[to] == text[to + k]
-        row[to[same]] = ids[to[same] + k]
-    return out
+    """All words in runs of RUN, each with the WINDOW ids before and after it (int16); BORDER between texts and at the end.
+
+    The words stand in order in the runs' middles, so that the windows of a run are its own slices.
+    """
+    sizes = np.diff(at)
+    text = np.repeat(np.arange(np.count_nonzero(sizes)), sizes[sizes > 0])
+    spots = np.arange(len(ids)) + WINDOW * (text + 1)
+    n = -(-(int(spots[-1]) + 1 - WINDOW) // RUN) if len(ids) else 0
+    out = np.full(max(n, 1) * RUN + 2 * WINDOW, BORDER, np.int16)
+    out[spots] = ids
+    return np.lib.stride_tricks.sliding_window_view(out, RUN + 2 * WINDOW)[::RUN][:n]
 
 
 # The network
@@ -137,41 +152,61 @@ def fresh(share: np.ndarray, seed: int = 1) -> list[np.ndarray]:
     with np.errstate(divide="ignore"):
         leaves = np.where(share > 0, np.log(share / np.maximum(of, 1e-300)[:, None]), -30.0)
         classes = np.where(of > 0, np.log(of), -30.0)
-    shapes = ((BORDER + 1, HIDDEN), (len(_OFFSETS), HIDDEN), (HIDDEN, CLASSES), (CLASSES, HIDDEN, LEAVES))
+    shapes = ((BORDER + 1, HIDDEN), (len(_PLACES), HIDDEN), (HIDDEN, CLASSES), (CLASSES, HIDDEN, LEAVES))
     net = [rng.normal(0, s, x) for x, s in zip(shapes, (0.2, 0.0, 0.1, 0.1), strict=True)]
     net[1] += 1.0
     return [x.astype(np.float32) for x in (*net, classes, leaves)]
 
 
-_ONES = np.ones(64, np.float32)
+_ONES = np.ones(max(64, BATCH), np.float32)
+
+
+def _steep(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether the exponentials of these layers could grow too large or all too small, whatever the hidden units (-1 to 1)."""
+    spread = np.abs(weights).sum(axis=-2)
+    return bool((bias + spread).max() > 70 or (bias - spread).max(axis=-1).min() < -70)
 
 
-def _safe(z: np.ndarray) -> np.ndarray:
-    """Rows less their maximum, in place, but only where exponentials could grow too large."""
-    if z.max() > 40:
+def _exp(z: np.ndarray, steep: bool) -> np.ndarray:
+    """Exponentials of rows in place, less their maximum if it takes that."""
+    if steep:
         z -= z.max(axis=1, keepdims=True)
-    return z
+    return np.exp(z, out=z)
 
 
-def _log_share(z: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+def _log_share(z: np.ndarray, at: np.ndarray, of: np.ndarray, steep: bool) -> np.ndarray:
     """The logarithm of the softmax of one column (``of``) of each row."""
-    own = _safe(z)[at, of]
-    return own - np.log(np.exp(z, out=z) @ _ONES)
+    if steep:
+        z -= z.max(axis=1, keepdims=True)
+    own = z[at, of]
+    return own - np.log(np.exp(z, out=z) @ _ONES[: z.shape[1]])
 
 
-def _slope(z: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+def _slope(z: np.ndarray, at: np.ndarray, of: np.ndarray, steep: bool) -> np.ndarray:
     """The gradient of the mean loss, where ``of`` has each row's true column, in place."""
-    np.exp(_safe(z), out=z)
-    z *= (1 / (len(z) * (z @ _ONES)))[:, None]
+    _exp(z, steep)
+    z *= (1 / (len(z) * (z @ _ONES[: z.shape[1]])))[:, None]
     z[at, of] -= np.float32(1 / len(z))
     return z
 
 
-def _hidden(net: list[np.ndarray], window: np.ndarray) -> np.ndarray:
-    total = net[0][window[0]] * net[1][0]
-    for k in range(1, len(window)):
-        total += net[0][window[k]] * net[1][k]
-    return np.tanh(total, out=total)
+def _by_id(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the runs' middles that hold words, by the words' ids, and those ids."""
+    middle = runs[:, WINDOW : WINDOW + RUN].ravel()
+    order = np.argsort(middle, kind="stable")
+    ids = middle[order]
+    n = int(np.searchsorted(ids, BORDER))  # the largest id
+    return order[:n], ids[:n].astype(np.int64)
+
+
+def _hidden(net: list[np.ndarray], runs: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hidden units of the words at the places of ``order``, and the embeddings of all runs (a row each)."""
+    x = net[0].take(runs.ravel(), axis=0).reshape(len(runs), -1)
+    total, part = np.zeros((len(runs), RUN * HIDDEN), np.float32), np.empty((len(runs), RUN * HIDDEN), np.float32)
+    for k, gate in zip(_PLACES, net[1], strict=True):
+        total += np.multiply(x[:, k * HIDDEN : (k + RUN) * HIDDEN], np.tile(gate, RUN), out=part)
+    h = total.reshape(-1, HIDDEN).take(order, axis=0)
+    return np.tanh(h, out=h), x
 
 
 def _leaf_layer(net: list[np.ndarray], h: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -180,57 +215,68 @@ def _leaf_layer(net: list[np.ndarray], h: np.ndarray, kinds: np.ndarray) -> tupl
     spans = [(int(c), int(edges[c]), int(edges[c + 1])) for c in np.flatnonzero(np.diff(edges))]
     z = np.empty((len(h), LEAVES), np.float32)
     for c, a, b in spans:
-        np.matmul(h[a:b], net[3][c], out=z[a:b])
-    z += net[5][kinds]
+        part = z[a:b]
+        np.matmul(h[a:b], net[3][c], out=part)
+        part += net[5][c]
     return z, spans
 
 
-def predict(net: list[np.ndarray], window: np.ndarray, ids: np.ndarray, step: int = 1 << 14) -> np.ndarray:
-    """log p(id | window) of each word."""
-    out = np.empty(len(ids), np.float32)
-    for lo in range(0, len(ids), step):
-        own = ids[lo : lo + step].astype(np.int16)
-        order = np.argsort(own, kind="stable")
-        own = own[order].astype(np.int64)
-        h, at = _hidden(net, window[:, lo : lo + step][:, order]), np.arange(len(own))
-        kinds = own // LEAVES
-        out[lo + order] = _log_share(h @ net[2] + net[4], at, kinds) + _log_share(_leaf_layer(net, h, kinds)[0], at, own % LEAVES)
+def predict(net: list[np.ndarray], runs: np.ndarray, ids: np.ndarray, step: int = BATCH) -> np.ndarray:
+    """log p(id | window) of each word; ``runs``: the windows of the words with these ids."""
+    out, done = np.empty(len(ids), np.float32), 0
+    steep = _steep(net[2], net[4]), _steep(net[3], net[5])
+    for lo in range(0, len(runs), step // RUN):
+        some = runs[lo : lo + step // RUN]
+        order, own = _by_id(some)
+        h, at, kinds = _hidden(net, some, order)[0], np.arange(len(own)), own // LEAVES
+        logs = np.zeros(len(some) * RUN, np.float32)
+        logs[order] = _log_share(h @ net[2] + net[4], at, kinds, steep[0]) + _log_share(_leaf_layer(net, h, kinds)[0], at, own % LEAVES, steep[1])
+        out[done : done + len(own)] = logs[some[:, WINDOW : WINDOW + RUN].ravel() != BORDER]
+        done += len(own)
     return out
 
 
-def fit(net: list[np.ndarray], past: list[np.ndarray], window: np.ndarray, ids: np.ndarray, rate: float = RATE) -> None:
-    """One step of Adagrad on these words, in place; ``past`` has the sums of squared gradients."""
-    at = np.arange(len(ids))
-    order = np.argsort(ids.astype(np.int16), kind="stable")
-    ids, window = ids[order], window[:, order]
-    kinds = ids // LEAVES
-    h = _hidden(net, window)
-    d = _slope(h @ net[2] + net[4], at, kinds)
+def fit(net: list[np.ndarray], past: list[np.ndarray], runs: np.ndarray, rate: float = RATE) -> None:
+    """One step of Adagrad on the words of these runs, in place; ``past`` has the sums of squared gradients."""
+    order, ids = _by_id(runs)
+    at, kinds = np.arange(len(ids)), ids // LEAVES
+    h, x = _hidden(net, runs, order)
+    d = h @ net[2]
+    d += net[4]
+    _slope(d, at, kinds, _steep(net[2], net[4]))
     e, spans = _leaf_layer(net, h, kinds)
-    _slope(e, at, ids % LEAVES)
+    _slope(e, at, ids % LEAVES, _steep(net[3], net[5]))
     back = d @ net[2].T
-    leaf = np.zeros_like(net[3])
+    leaf, border = np.zeros_like(net[3]), np.zeros_like(net[5])
     for c, a, b in spans:
         np.matmul(h[a:b].T, e[a:b], out=leaf[c])
+        np.matmul(_ONES[: b - a], e[a:b], out=border[c])
         back[a:b] += e[a:b] @ net[3][c].T
-    border = np.zeros_like(net[5])
-    border[[c for c, _, _ in spans]] = np.add.reduceat(e, [a for _, a, _ in spans], axis=0)
     back *= 1 - h * h
 
     def move(k: int, rows, gradient: np.ndarray) -> None:
-        past[k][rows] += gradient * gradient
-        net[k][rows] -= rate * gradient / (np.sqrt(past[k][rows]) + 1e-6)
+        sums = past[k][rows] + gradient * gradient
+        past[k][rows] = sums
+        net[k][rows] -= rate * gradient / (np.sqrt(sums) + 1e-6)
 
     everything = slice(None)
-    for k, gradient in ((2, h.T @ d), (3, leaf), (4, d.sum(axis=0)), (5, border)):
+    for k, gradient in ((2, h.T @ d), (3, leaf), (4, _ONES[: len(d)] @ d), (5, border)):
         move(k, everything, gradient)
-    gates = net[1].copy()
-    for k, row in enumerate(window):
-        by = np.argsort(row.astype(np.int16), kind="stable")
-        begins = np.flatnonzero(np.diff(row[by], prepend=-1))
-        sums, rows = np.add.reduceat(back[by], begins, axis=0), row[by][begins]
-        move(1, k, (sums * net[0][rows]).sum(axis=0))
-        move(0, rows, sums * gates[k])
+    slopes = np.zeros((len(runs) * RUN, HIDDEN), np.float32)
+    slopes[order] = back
+    slopes = slopes.reshape(len(runs), -1)
+    dx, gates, part = np.zeros_like(x), np.empty_like(net[1]), np.empty_like(slopes)
+    for row, k in enumerate(_PLACES):
+        span = slice(k * HIDDEN, (k + RUN) * HIDDEN)
+        np.multiply(slopes, x[:, span], out=part)
+        gates[row] = (_ONES[: len(part)] @ part).reshape(RUN, HIDDEN).sum(axis=0)
+        dx[:, span] += np.multiply(slopes, np.tile(net[1][row], RUN), out=part)
+    flat = runs.ravel()
+    by = np.argsort(flat, kind="stable")
+    met = flat[by]
+    begins = np.flatnonzero(np.diff(met, prepend=np.int16(-1)))
+    move(1, everything, gates)
+    move(0, met[begins], np.add.reduceat(dx.reshape(-1, HIDDEN).take(by, axis=0), begins, axis=0))
 
 
 def _flat(net: list[np.ndarray]) -> np.ndarray:
@@ -257,8 +303,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
             parts = [Words(data, offsets) for _, _, data, offsets in chunks(batch.column(0))]
             hashes = np.concatenate([signed(x.hashes) for x in parts]) if parts else np.zeros(0, np.int64)
             kinds = np.concatenate([class_of(x.ending) for x in parts]) if parts else np.zeros(0, np.int64)
-            found, at, counts = np.unique(hashes, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(kinds[at], pa.int32()), pa.array(counts, pa.int64())], ["word", "class", "n"])
+            order = np.argsort(hashes)
+            hashes, kinds = hashes[order], kinds[order]
+            begins = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)])
+            counts = np.diff(begins, append=len(hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[begins]), pa.array(kinds[begins], pa.int32()), pa.array(counts, pa.int64())], ["word", "class", "n"])
 
     found = _texts(docs).transform(in_arrow, run, "word long, class int, n long")
     return found.groupBy("word").agg(F.max("class").alias("class"), F.sum("n").alias("n"))
@@ -283,10 +332,10 @@ def _count_spelt(counts: np.ndarray, found: Words, ids: np.ndarray) -> None:
     """Adds the cells of the words that are no leaf."""
     cells, fronts = found.spellings()
     rare = ids % LEAVES == 0
-    marks = np.zeros(len(cells) + 1, np.int64)
+    marks = np.zeros(len(cells) + 1, np.int8)
     marks[found.starts[rare]] += 1
     marks[found.ends[rare]] -= 1
-    np.add.at(counts, cells[np.cumsum(marks[:-1]) > 0], 1)
+    np.add.at(counts, cells[np.cumsum(marks[:-1], dtype=np.int8).view(bool)], 1)
     np.add.at(counts, fronts[rare], 1)
 
 
@@ -310,26 +359,28 @@ def trained(docs: DataFrame, words_of: Vocabulary, share: np.ndarray, rounds: in
 
         def run(batches, held=held, number=number):
             known, net, past = held.value[0], *([x.copy() for x in held.value[k]] for k in (1, 2))
-            rng, total, spelt, leaves = np.random.default_rng(number), 0, np.zeros(SYMBOLS**3, np.int64), {}
+            rng, total, spelt, leaves = np.random.default_rng(number), 0, np.zeros(SYMBOLS**3, np.int64), []
+            unmet = np.arange(CLASSES * LEAVES) % LEAVES > 0
             for batch in batches:
                 for _, _, data, offsets in chunks(batch.column(0)):
                     found = Words(data, offsets)
                     ids = known.of(found)
                     _count_spelt(spelt, found, ids)
-                    if len(leaves) < len(known.ids):
-                        for leaf, at in zip(*np.unique(ids, return_index=True), strict=True):
-                            if leaf % LEAVES and leaf not in leaves:
-                                leaves[leaf] = LOWER[data[found.starts[at] : found.ends[at]]].tobytes()
-                    window, order = windows(ids, found.at), rng.permutation(len(ids))
-                    for lo in range(0, len(ids), BATCH):
-                        some = order[lo : lo + BATCH]
-                        fit(net, past, window[:, some], ids[some])
+                    place = np.full(CLASSES * LEAVES, -1)
+                    place[ids] = np.arange(len(ids))
+                    for leaf in np.flatnonzero((place >= 0) & unmet):
+                        leaves.append(LOWER[data[found.starts[place[leaf]] : found.ends[place[leaf]]]].tobytes())
+                    unmet &= place < 0
+                    window = windows(ids, found.at)
+                    order = rng.permutation(len(window))
+                    for lo in range(0, len(order), BATCH // RUN):
+                        fit(net, past, window[order[lo : lo + BATCH // RUN]])
                     total += len(ids)
             if total:
                 flat = np.concatenate([_flat(net), np.sqrt(_flat(past))])
                 blocks = [flat[k : k + BLOCK].tobytes() for k in range(0, len(flat), BLOCK)]
                 cells = np.flatnonzero(spelt)
-                yield _parts([(-2, 0.0, b"", b" ".join(leaves.values())), (-1, 0.0, cells.tobytes(), spelt[cells].tobytes()), *((k, float(total), b"", x) for k, x in enumerate(blocks))])
+                yield _parts([(-2, 0.0, b"", b" ".join(leaves)), (-1, 0.0, cells.tobytes(), spelt[cells].tobytes()), *((k, float(total), b"", x) for k, x in enumerate(blocks))])
 
         def mean(batches):
             """The weighted means of the blocks, the sums of the counts and the words that were met; one of each is held at a time."""

@@ -708,6 +708,64 @@ def test_lm_tells_texts_apart(spark, docs):
     assert abs(got[5000] - got[5001]) > 0.01
 
 
+def test_lm_runs_hold_each_word_once():
+    """Every word stands once in the middle of a run, between its neighbours; little is laid out twice (it was four times)."""
+    rng = np.random.default_rng(5)
+    for sizes in ([], [0, 0], [1], [0, 3, 0, 0, 700, 1, 2, 0], [1] * 50, [5000], list(rng.integers(0, 60, 300))):
+        at = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+        ids = rng.integers(0, 4096, at[-1])
+        runs, got = lm_score.windows(ids, at), []
+        for run in runs:
+            got += [tuple(run[k : k + 5]) for k in range(len(run) - 4) if run[k + 2] != lm_score.BORDER]
+        want = []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            text = [4096, 4096, *ids[a:b], 4096, 4096]
+            want += [tuple(text[k : k + 5]) for k in range(b - a)]
+        assert got == want
+        assert np.asarray(runs).size <= 1.3 * (len(ids) + 2 * np.count_nonzero(sizes)) + 40
+        assert len(lm_score.predict(lm_score.fresh(np.full(4096, 1 / 4096)), runs, ids)) == len(ids)
+
+
+def test_lm_step_follows_the_gradient():
+    """One step's squared gradients and moves, against differences of the loss by plain loops."""
+    rng = np.random.default_rng(6)
+    at = np.array([0, 1, 1, 9, 40, 42])
+    ids = rng.choice([0, 1, 64, 65, 66, 130, 4095], 42)
+    for scale in (1.0, 60.0):  # small layers, and such as would overflow
+        net = [x.astype(np.float32) for x in lm_score.fresh(np.full(4096, 1 / 4096))]
+        net[1] += rng.normal(0, 0.2, net[1].shape).astype(np.float32)
+        net[4] *= np.float32(scale)
+        net[4][1] += np.float32(scale - 1)
+
+        def loss(net):
+            total = 0.0
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                text = [4096, 4096, *ids[a:b], 4096, 4096]
+                for k in range(b - a):
+                    h = np.tanh(sum(net[0][text[k + o]] * net[1][n] for n, o in enumerate((0, 1, 3, 4))))
+                    c, leaf = divmod(text[k + 2], 64)
+                    for z, own in ((h @ net[2] + net[4], c), (h @ net[3][c] + net[5][c], leaf)):
+                        total -= z[own] - z.max() - np.log(np.exp(z - z.max()).sum())
+            return total / len(ids)
+
+        spots = [(0, (4096, 3)), (0, (64, 0)), (0, (130, 7)), (0, (77, 1)), (1, (0, 2)), (1, (3, 5)), (2, (4, 1)), (2, (9, 63)), (3, (1, 5, 2)), (3, (0, 2, 0)), (3, (63, 1, 63)), (4, (1,)), (5, (1, 2)), (5, (30, 2))]
+        slopes = []
+        for part, spot in spots:
+            sides = []
+            for by in (1e-4, -1e-4):
+                moved = [x.astype(np.float64) for x in net]
+                moved[part][spot] += by
+                sides.append(loss(moved))
+            slopes.append((sides[0] - sides[1]) / 2e-4)
+        before, past = [x.copy() for x in net], [np.full(x.shape, 1e-7, np.float32) for x in net]
+        lm_score.fit(net, past, lm_score.windows(ids, at))
+        assert sum(abs(x) > 1e-4 for x in slopes) >= 10
+        for (part, spot), slope in zip(spots, slopes, strict=True):
+            assert math.isclose(past[part][spot], 1e-7 + slope * slope, rel_tol=2e-2, abs_tol=2e-9), (part, spot)
+            want = -lm_score.RATE * slope / (math.sqrt(1e-7 + slope * slope) + 1e-6)
+            assert math.isclose(net[part][spot] - before[part][spot], want, rel_tol=2e-2, abs_tol=1e-4), (part, spot)
+
+
 def test_language_accuracy(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.language_report(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
