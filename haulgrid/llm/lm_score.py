@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from haulgrid.llm.scratch import Scratch, in_arrow
-from haulgrid.llm.textbytes import LOWER, U64, chunks, mix, signed, word_hashes, words
+from haulgrid.llm.textbytes import _BASE, _BYTE_CODE, CHUNK_BYTES, LOWER, U64, chunks, mix, signed, word_hashes, words
 
 CLASSES, LEAVES, HIDDEN = 64, 64, 24
 #: Words seen on each side; the id of what lies beyond a text's borders.
@@ -52,16 +52,38 @@ _SYMBOL[np.flatnonzero(_LETTER[LOWER] & (LOWER == np.arange(256)))] = np.arange(
 SYMBOLS = 165
 #: The symbol of each byte of a text; 0 where it is no letter.
 _OF_BYTE = np.where(_LETTER, _SYMBOL[LOWER], 0).astype(np.int32)
+#: Bytes handled at once where no order is shuffled, so that arrays stay in a core's cache.
+NEAR = 1 << 18
 #: Where the words of a window stand in a run, from the window's first.
 _PLACES = [k for k in range(2 * WINDOW + 1) if k != WINDOW]
 
 
+def _powers(base: int) -> np.ndarray:
+    out = np.full(CHUNK_BYTES + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_CODE, _POWER, _INVERSE = _BYTE_CODE[LOWER], _powers(int(_BASE)), _powers(pow(int(_BASE), -1, 1 << 64))
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``word_hashes`` of the words in lower case, by running sums over all bytes; a longer text than a chunk goes there."""
+    if len(data) > CHUNK_BYTES:
+        return word_hashes(LOWER[data], starts, ends)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    code = _CODE.take(data)
+    code *= _POWER[: len(data)]
+    np.cumsum(code, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _INVERSE[starts] + (ends - starts).astype(np.uint64))
+
+
 class Words:
     """The words of some texts: hash, ending (last two symbols), offsets of each text's words, sentence numbers, cells of spelling."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.starts, self.ends, self.at = words(_LETTER[data], offsets)
-        self.hashes = word_hashes(LOWER[data], self.starts, self.ends)
+        self.hashes = _hashes(data, self.starts, self.ends)
         symbol = self.symbol = np.zeros(len(data) + 2, np.int32)
         np.take(_OF_BYTE, data, out=symbol[:-2], mode="clip")
         self.after = symbol[1:-1].copy()  # the byte after each, in its word
@@ -202,9 +224,11 @@ def _by_id(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _hidden(net: list[np.ndarray], runs: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hidden units of the words at the places of ``order``, and the embeddings of all runs (a row each)."""
     x = net[0].take(runs.ravel(), axis=0).reshape(len(runs), -1)
-    total, part = np.zeros((len(runs), RUN * HIDDEN), np.float32), np.empty((len(runs), RUN * HIDDEN), np.float32)
-    for k, gate in zip(_PLACES, net[1], strict=True):
-        total += np.multiply(x[:, k * HIDDEN : (k + RUN) * HIDDEN], np.tile(gate, RUN), out=part)
+    gates = np.tile(net[1], RUN)
+    total = x[:, : RUN * HIDDEN] * gates[0]
+    part = np.empty_like(total)
+    for k, gate in zip(_PLACES[1:], gates[1:], strict=True):
+        total += np.multiply(x[:, k * HIDDEN : (k + RUN) * HIDDEN], gate, out=part)
     h = total.reshape(-1, HIDDEN).take(order, axis=0)
     return np.tanh(h, out=h), x
 
@@ -255,9 +279,14 @@ def fit(net: list[np.ndarray], past: list[np.ndarray], runs: np.ndarray, rate: f
     back *= 1 - h * h
 
     def move(k: int, rows, gradient: np.ndarray) -> None:
-        sums = past[k][rows] + gradient * gradient
-        past[k][rows] = sums
-        net[k][rows] -= rate * gradient / (np.sqrt(sums) + 1e-6)
+        by = gradient * gradient
+        by += past[k][rows]
+        past[k][rows] = by
+        np.sqrt(by, out=by)
+        by += 1e-6
+        np.divide(gradient, by, out=by)
+        by *= rate
+        net[k][rows] -= by
 
     everything = slice(None)
     for k, gradient in ((2, h.T @ d), (3, leaf), (4, _ONES[: len(d)] @ d), (5, border)):
@@ -300,7 +329,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            parts = [Words(data, offsets) for _, _, data, offsets in chunks(batch.column(0))]
+            parts = [Words(data, offsets) for _, _, data, offsets in chunks(batch.column(0), NEAR)]
             hashes = np.concatenate([signed(x.hashes) for x in parts]) if parts else np.zeros(0, np.int64)
             kinds = np.concatenate([class_of(x.ending) for x in parts]) if parts else np.zeros(0, np.int64)
             order = np.argsort(hashes)
@@ -508,7 +537,7 @@ def _scored(docs: DataFrame, learned: Model, scratch: Scratch) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i, j, data, offsets in chunks(batch.column(2)):
+            for i, j, data, offsets in chunks(batch.column(2), NEAR):
                 yield part(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), data, offsets)
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -708,6 +708,18 @@ def test_lm_tells_texts_apart(spark, docs):
     assert abs(got[5000] - got[5001]) > 0.01
 
 
+def test_lm_hashes_are_those_of_word_hashes():
+    """Those of a chunk come from running sums over its bytes, those of a longer text from word_hashes itself."""
+    from haulgrid.llm.textbytes import LOWER, word_hashes
+
+    rng = np.random.default_rng(7)
+    for data in (rng.integers(0, 256, 5000), np.full(3000, 97), np.zeros(0), np.frombuffer(b"Ab aB ab" * 200_000, np.uint8)):
+        data = data.astype(np.uint8)
+        found = lm_score.Words(data, np.array([0, len(data) // 3, len(data)]))
+        assert (found.hashes == word_hashes(LOWER[data], found.starts, found.ends)).all()
+        assert all((found.hashes[k] == lm_score._listed([data[found.starts[k] : found.ends[k]].tobytes()]).hashes).all() for k in range(min(50, len(found.starts))))
+
+
 def test_lm_runs_hold_each_word_once():
     """Every word stands once in the middle of a run, between its neighbours; little is laid out twice (it was four times)."""
     rng = np.random.default_rng(5)
