@@ -196,19 +196,24 @@ def _exp(z: np.ndarray, steep: bool) -> np.ndarray:
     return np.exp(z, out=z)
 
 
-def _log_share(z: np.ndarray, at: np.ndarray, of: np.ndarray, steep: bool) -> np.ndarray:
+def _own(z: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Where one column (``of``) of each row is among all values."""
+    return np.arange(0, z.size, z.shape[1]) + of
+
+
+def _log_share(z: np.ndarray, of: np.ndarray, steep: bool) -> np.ndarray:
     """The logarithm of the softmax of one column (``of``) of each row."""
     if steep:
         z -= z.max(axis=1, keepdims=True)
-    own = z[at, of]
+    own = z.ravel().take(_own(z, of))
     return own - np.log(np.exp(z, out=z) @ _ONES[: z.shape[1]])
 
 
-def _slope(z: np.ndarray, at: np.ndarray, of: np.ndarray, steep: bool) -> np.ndarray:
+def _slope(z: np.ndarray, of: np.ndarray, steep: bool) -> np.ndarray:
     """The gradient of the mean loss, where ``of`` has each row's true column, in place."""
     _exp(z, steep)
     z *= (1 / (len(z) * (z @ _ONES[: z.shape[1]])))[:, None]
-    z[at, of] -= np.float32(1 / len(z))
+    z.reshape(-1)[_own(z, of)] -= np.float32(1 / len(z))
     return z
 
 
@@ -233,6 +238,13 @@ def _hidden(net: list[np.ndarray], runs: np.ndarray, order: np.ndarray) -> tuple
     return np.tanh(h, out=h), x
 
 
+def _class_layer(net: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+    """What the softmax over the classes is of."""
+    z = h @ net[2]
+    z += net[4]
+    return z
+
+
 def _leaf_layer(net: list[np.ndarray], h: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """What the softmax over the leaves of each word's class is of, and (class, first, end) of the words of each, in order."""
     edges = np.searchsorted(kinds, np.arange(CLASSES + 1))
@@ -252,9 +264,9 @@ def predict(net: list[np.ndarray], runs: np.ndarray, ids: np.ndarray, step: int
     for lo in range(0, len(runs), step // RUN):
         some = runs[lo : lo + step // RUN]
         order, own = _by_id(some)
-        h, at, kinds = _hidden(net, some, order)[0], np.arange(len(own)), own // LEAVES
+        h, kinds = _hidden(net, some, order)[0], own // LEAVES
         logs = np.zeros(len(some) * RUN, np.float32)
-        logs[order] = _log_share(h @ net[2] + net[4], at, kinds, steep[0]) + _log_share(_leaf_layer(net, h, kinds)[0], at, own % LEAVES, steep[1])
+        logs[order] = _log_share(_class_layer(net, h), kinds, steep[0]) + _log_share(_leaf_layer(net, h, kinds)[0], own % LEAVES, steep[1])
         out[done : done + len(own)] = logs[some[:, WINDOW : WINDOW + RUN].ravel() != BORDER]
         done += len(own)
     return out
@@ -263,13 +275,11 @@ def predict(net: list[np.ndarray], runs: np.ndarray, ids: np.ndarray, step: int
 def fit(net: list[np.ndarray], past: list[np.ndarray], runs: np.ndarray, rate: float = RATE) -> None:
     """One step of Adagrad on the words of these runs, in place; ``past`` has the sums of squared gradients."""
     order, ids = _by_id(runs)
-    at, kinds = np.arange(len(ids)), ids // LEAVES
+    kinds = ids // LEAVES
     h, x = _hidden(net, runs, order)
-    d = h @ net[2]
-    d += net[4]
-    _slope(d, at, kinds, _steep(net[2], net[4]))
+    d = _slope(_class_layer(net, h), kinds, _steep(net[2], net[4]))
     e, spans = _leaf_layer(net, h, kinds)
-    _slope(e, at, ids % LEAVES, _steep(net[3], net[5]))
+    _slope(e, ids % LEAVES, _steep(net[3], net[5]))
     back = d @ net[2].T
     leaf, border = np.zeros_like(net[3]), np.zeros_like(net[5])
     for c, a, b in spans:
